@@ -34,18 +34,18 @@ def _ends(lengths: Column) -> Column:
     """Running sums. In chunks, so that long arrays don't cost their square."""
     zero = F.lit(0).cast("bigint")
     within = F.aggregate(
-        lengths, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), zero) + x))
+        lengths, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), zero) + x))
     )
     parts = F.transform(
         F.sequence(F.lit(0), F.ceil(F.size(lengths) / _CHUNK).cast("int") - 1),
         lambda i: F.slice(lengths, i * _CHUNK + 1, _CHUNK),
     )
     sums = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x))
-    before = F.aggregate(sums, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    before = F.aggregate(sums, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.try_element_at(acc, F.lit(-1)) + x)))
     chunked = F.flatten(
         F.zip_with(
             parts, F.slice(before, 1, F.size(sums)),
-            lambda p, b: F.aggregate(p, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), b) + x))),
+            lambda p, b: F.aggregate(p, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), b) + x))),
         )
     )
     return F.when(F.size(lengths) <= _CHUNK, within).otherwise(chunked)
@@ -121,7 +121,7 @@ def _placed(side: Column, offset: Column, before: bool, reach: int) -> Column:
     rows = F.zip_with(found, ends, lambda f, e: F.struct(F.lower(f).alias("term"), (offset + e - F.length(f)).alias("start"), (offset + e).alias("end")))
     broken = (lambda x: (x["start"] == offset) & (offset > 0)) if before else (lambda x: x["end"] == offset + 40 * reach)
     rows = F.filter(rows, lambda x: (F.length(x["term"]) > 1) & ~broken(x))
-    return F.slice(rows, -F.least(F.lit(reach), F.size(rows)), reach) if before else F.slice(rows, 1, reach)
+    return F.slice(rows, -F.greatest(F.lit(1), F.least(F.lit(reach), F.size(rows))), reach) if before else F.slice(rows, 1, reach)
 
 
 def disclosing_terms(contexts: DataFrame, words: DataFrame, n_docs: DataFrame, support: int, share: float) -> DataFrame:
