@@ -30,5 +30,5 @@ def apply_changes(changes: DataFrame, store: GraphStore, checkpoint: str) -> Str
 
 def requests_per_minute(events: DataFrame, client: str = "user_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """``client, window_start, n``: calls in each tumbling minute, late ones up to ``late``."""
-    counted = events.withWatermark(ts, late).groupBy(F.window(ts, "1 minute").alias("w"), client).agg(F.count(F.lit(1)).alias("n"))
+    counted = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, "1 minute").alias("w"), client).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(client, F.col("w.start").alias("window_start"), "n")
