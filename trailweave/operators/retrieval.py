@@ -18,11 +18,6 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _one(df: DataFrame) -> DataFrame:
-    """A table of one row, joined by a constant key: its size is known."""
-    return F.broadcast(df.withColumn("_one", F.lit(1)))
-
-
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each query by score (rounded to 9 digits), ties by id: a top-k report."""
     order = W.partitionBy("qid").orderBy(F.col("score").desc(), "id")
@@ -35,8 +30,8 @@ def tfidf(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     Documents without a shared term score 0 and follow, in order of id, where fewer than ``k`` share one.
     """
     posted = postings(docs)
-    n = _one(docs.agg(F.count(F.lit(1)).alias("n")))
-    idf = document_frequency(posted).withColumn("_one", F.lit(1)).join(n, "_one").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    idf = document_frequency(posted).select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weighed = posted.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = postings(queries, "qid").withColumnsRenamed({"id": "qid", "tf": "qtf"}).join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
@@ -44,8 +39,8 @@ def tfidf(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     dots = asked.select("qid", "term", "qw").join(weighed.select("id", "term", "w"), "term").groupBy("qid", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     scores = dots.join(norms, "id").join(lengths, "qid").select("qid", "id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
     best = top_k(scores, k).drop("rank")
-    first = docs.select("id").orderBy("id").limit(2 * k)
-    rest = queries.select("qid").withColumn("_one", F.lit(1)).join(_one(first), "_one").select("qid", "id", F.lit(0.0).alias("score"))
+    first = docs.select("id").orderBy("id").limit(2 * k).agg(F.array_sort(F.collect_list("id"))).scalar()
+    rest = queries.select("qid", F.explode(first).alias("id"), F.lit(0.0).alias("score"))
     rest = rest.join(best.select("qid", "id"), ["qid", "id"], "left_anti")
     return top_k(best.unionByName(rest), k)
 
@@ -57,13 +52,12 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: f
     """
     posted = postings(docs)
     sizes = docs.select("id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("len")).withColumn("len", F.greatest("len", F.lit(0)))
-    total = _one(sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")))
-    df = F.col("df")
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1))
-    terms = document_frequency(posted).withColumn("_one", F.lit(1)).join(total, "_one").select("term", idf.alias("idf"), "mean")
+    n, mean, df = sizes.agg(F.count(F.lit(1))).scalar(), sizes.agg(F.avg("len")).scalar(), F.col("df")
+    idf = F.greatest(F.lit(1e-6), F.log((n - df + 0.5) / (df + 0.5) + 1))
+    terms = document_frequency(posted).select("term", idf.alias("idf"))
     asked = postings(queries, "qid").withColumnsRenamed({"id": "qid", "tf": "qtf"}).join(terms, "term")
     tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / mean))
     scores = asked.join(posted.join(sizes, "id"), "term").groupBy("qid", "id").agg(F.sum(part).alias("score")).where("score > 0")
     return top_k(scores, k)
 
@@ -75,7 +69,11 @@ def random_top(queries: DataFrame, docs: DataFrame, k: int = 5, seed: int = 0) -
     queries and documents are formed.
     """
     size = docs.count()
-    ring = docs.select("id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.xxhash64(F.lit(seed), "id"), "id")).alias("at")) if size else docs.select("id", F.lit(0).alias("at"))
+    # Places in the ring: within ranges of the hash, after the rows of the ranges before.
+    ranged = docs.select("id", F.xxhash64(F.lit(seed), "id").alias("h")).repartitionByRange("h", "id").withColumn("part", F.spark_partition_id())
+    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c")).withColumn("below", F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inner = F.row_number().over(W.partitionBy("part").orderBy("h", "id"))
+    ring = ranged.withColumn("own", inner).join(F.broadcast(before), "part").select("id", (F.col("own") + F.col("below")).cast("int").alias("at"))
     want = queries.select("qid", F.explode(F.sequence(F.lit(0), F.lit(min(k, size) - 1))).alias("j")) if size else queries.select("qid", F.lit(0).alias("j")).where("false")
     want = want.withColumn("at", (F.pmod(F.xxhash64(F.lit(seed), "qid") + F.col("j"), F.lit(max(1, size))) + 1).cast("int"))
     return want.join(ring, "at").select("qid", "id", F.lit(0.0).alias("score"), (F.col("j") + 1).alias("rank"))
@@ -91,8 +89,8 @@ def surface_link(questions: DataFrame, names: DataFrame, k: int = 20) -> DataFra
     distinct = names.where("name is not null").select("name").distinct()
     own = distinct.withColumn("toks", F.array_distinct(tokens(F.col("name"))))
     posted = own.select("name", F.size("toks").alias("size"), F.explode("toks").alias("term"))
-    n = _one(distinct.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")))
-    idf = document_frequency(posted).withColumn("_one", F.lit(1)).join(n, "_one").select("term", (F.log(F.col("n") / (1 + F.col("df"))) + 1).alias("idf"))
+    n = distinct.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    idf = document_frequency(posted).select("term", (F.log(n / (1 + F.col("df"))) + 1).alias("idf"))
     q = questions.select("qid", normalised(F.col("text")).alias("q"))
     asked = q.select("qid", F.explode(F.array_distinct(tokens(F.col("q")))).alias("term"))
     met = asked.join(posted.join(idf, "term"), "term").groupBy("qid", "name", "size").agg(F.sum("idf").alias("s"), F.count(F.lit(1)).alias("m")).join(q, "qid")
