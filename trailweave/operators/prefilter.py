@@ -1,0 +1,23 @@
+"""A one-bit filter of fixed size that tells which rows a join can't take."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Places of the filter; a power of two, at least 64.
+PLACES = 1 << 25
+
+
+def marked(rows: DataFrame, wanted: DataFrame, column: str = "h") -> DataFrame:
+    """``rows`` with ``_maybe``: false only if no row of ``wanted`` has the same ``column``.
+
+    ``column`` is a bigint hash, not null. The filter is built by sums before its shuffle and
+    broadcast: at most PLACES / 64 words of 64 bits, whatever the data. It only saves moving rows
+    that no later join would take; where very many values are wanted it fills up and marks all.
+    """
+    place = F.pmod(column, F.lit(PLACES))
+    shift = f"CAST(pmod({column}, {PLACES}) % 64 AS INT)"
+    bits = wanted.select(F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, {shift})").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(bits), "_word", "left")
+    return found.withColumn("_maybe", F.coalesce(F.expr(f"(shiftright(_bits, {shift}) & 1) = 1"), F.lit(False))).drop("_word", "_bits")

@@ -153,3 +153,40 @@ def trace(path: Sequence[tuple[str, str, str]], dim: int = 16, vocabulary: Vocab
         goal = default_stalk(target, dim)
         out.append({"source": source, "relation": relation, "target": target, "carried": carried, "residual": float(np.linalg.norm(carried - goal) / (np.linalg.norm(goal) or 1.0))})
     return out
+
+
+def text_stalks(texts: DataFrame, dim: int = 32, seed: int = 0) -> DataFrame:
+    """``id, sheaf_stalk``: a weighted random projection of each text's tokens, at length 1.
+
+    Weight (1 + ln tf) (ln(N / (1 + df)) + 1); a token's vector is seeded by SHA-256 of the seed
+    and the token, once for each distinct token. Texts (id, text) without tokens are left out.
+    """
+    from trailweave.operators.retrieval import document_frequency, postings
+
+    shipped(texts.sparkSession)
+    posted = postings(texts)
+    n = texts.agg(F.count(F.lit(1))).scalar()
+
+    @F.pandas_udf("array<double>")
+    def projected(term: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng(seed_of(f"{seed}:{t}")).standard_normal(dim).tolist() for t in term])
+
+    known = document_frequency(posted).select("term", (F.log(n / (1 + F.col("df"))) + 1).alias("idf"), projected("term").alias("v"))
+    weighed = posted.join(known, "term").select("id", ((1 + F.log("tf")) * F.col("idf")).alias("w"), "v")
+    sums = weighed.groupBy("id").agg(*[F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"c{k}") for k in range(dim)])
+    raw = F.array(*[F.col(f"c{k}") for k in range(dim)])
+    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
+    return sums.where(length > 0).select("id", F.transform(raw, lambda x: x / length).alias("sheaf_stalk"))
+
+
+def stalk_export(objects: DataFrame, edges: DataFrame, dim: int = 3) -> DataFrame:
+    """``id, stalk, dangling`` of every node, targets that are no objects included."""
+    from trailweave.plans.query import graph_export
+
+    shipped(objects.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def stalk(name: pd.Series) -> pd.Series:
+        return pd.Series([default_stalk(x, dim).tolist() for x in name])
+
+    return graph_export(objects, edges).select("id", stalk("id").alias("stalk"), "dangling")

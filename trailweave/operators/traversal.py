@@ -175,3 +175,21 @@ def geodesic_paths(queries: DataFrame, edges: DataFrame, objects: DataFrame | No
     if plan not in ("heap", "min"):
         raise ValueError("plan is auto, level, heap or min")
     return _settled_once(queries, edges) if plan == "heap" else _cheapest(queries, edges)
+
+
+def detours(chains: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
+    """``qid, relations``: for each chain another way between its ends with other relations, if there is one.
+
+    ``chains``: qid, source, relations, target. Walks of up to ``max_hops`` edges grow by one join
+    a hop, and equal relation sequences at a node are one; the shortest way is taken, then the
+    least in order of its relations.
+    """
+    e = edges.select("src", "relation", "dst").distinct()
+    none = F.array().cast("array<string>")
+    walks = chains.select("qid", F.col("source").alias("node"), none.alias("way"))
+    found = None
+    for _ in range(max_hops):
+        walks = written(walks.join(e, walks.node == e.src).select("qid", F.col("dst").alias("node"), F.concat("way", F.array("relation")).alias("way")).distinct(), "walks")
+        hit = walks.join(chains.select("qid", "relations", "target"), "qid").where((F.col("node") == F.col("target")) & (F.col("way") != F.col("relations"))).select("qid", "way")
+        found = hit if found is None else found.unionByName(hit)
+    return found.groupBy("qid").agg(F.min(F.struct(F.size("way").alias("n"), "way")).alias("b")).select("qid", F.col("b.way").alias("relations"))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.cluster import written
 from trailweave.functions.text import alias_keys, normalised, slug
 from trailweave.functions.vocabulary import Vocabulary
 from trailweave.operators import metrics, retrieval
@@ -153,3 +154,54 @@ def markdown(rows: DataFrame, columns: list[str]) -> str:
     show = lambda v: "n/a" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     head = [f"| {' | '.join(columns)} |", "|" + "---|" * len(columns)]
     return "\n".join([*head, *(f"| {' | '.join(show(v) for v in r)} |" for r in rows.select(*columns).limit(1000).collect())])
+
+
+def run_probe(examples: DataFrame, dim: int = 32, held: float = 0.3, seed: int = 0, max_hops: int = 3, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """``maps, kind, n, auc, win_rate, median_gold, median_other, degenerate``: can residuals tell true chains from corrupted ones?
+
+    Chains are split by a seeded hash; edges of held-out chains are no evidence for the learned
+    maps. Families: placeholder, identity (no map moves anything) and learned. ``kind`` null is
+    all corruptions together. degenerate: all learned maps are the identity.
+    """
+    own = chains(examples)
+    test = own.where(F.pmod(F.xxhash64(F.lit(seed), "qid"), F.lit(1000)) < int(1000 * held))
+    pairs = lambda df: df.select(F.explode("triples").alias("t")).select(F.col("t.s").alias("src"), F.col("t.r").alias("relation"), F.col("t.o").alias("dst")).distinct()
+    every = examples.select(F.explode("evidences").alias("t")).select(normalised(F.col("t.s")).alias("src"), F.col("t.r").alias("relation"), normalised(F.col("t.o")).alias("dst")).distinct()
+    train = every.join(pairs(test), ["src", "relation", "dst"], "left_anti")
+    from trailweave.operators.sheaf import text_stalks
+    from trailweave.operators.traversal import detours
+
+    stalks = text_stalks(entity_texts(examples), dim, seed)
+    learned = learned_maps(train, stalks, vocabulary)
+    names = [r[0] for r in every.select("relation").distinct().collect()]
+    identity = {n: np.eye(dim) for n in names}
+    other = detours(test, every, max_hops).join(test.select("qid", "source", "target"), "qid").select("qid", F.lit("detour").alias("kind"), "source", "relations", "target")
+    bad = corrupted(test, seed).unionByName(other)
+    rows = test.select("qid", F.lit("gold").alias("kind"), "source", "relations", "target").unionByName(bad)
+    known = stalks.select("id")
+    rows = rows.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    step = F.transform("relations", lambda r: F.struct(F.lit("").alias("source"), r.alias("relation"), F.lit("").alias("target"), F.lit(1.0).alias("weight")))
+    rows = rows.select("qid", "kind", F.col("source").alias("anchor"), F.col("target").alias("object_id"), step.alias("path"))
+    flat = bool(learned) and all(np.allclose(m, np.eye(len(m))) for m in learned.values())
+    kinds = sorted(x[0] for x in bad.select("kind").distinct().collect())
+    rows, out = written(rows, "chains"), []
+    for name, maps in (("placeholder", None), ("identity", identity), ("learned", {**identity, **learned})):
+        r = written(residuals(rows, dim, stalks, vocabulary, maps).select("qid", "kind", "sheaf"), "residuals")
+        both = r.where("kind <> 'gold'").select("qid", "kind", F.col("sheaf").alias("other")).join(r.where("kind = 'gold'").select("qid", F.col("sheaf").alias("gold")), "qid")
+        both = written(both, "pairs")
+        for kind in (None, *kinds):
+            part = both if kind is None else both.where(F.col("kind") == kind)
+            gold = part.select("qid", F.col("gold").alias("score"), F.lit(True).alias("positive")).distinct().drop("qid")
+            found = metrics.auc(gold.unionByName(part.select(F.col("other").alias("score"), F.lit(False).alias("positive")))).first()
+            for w in metrics.win_rate(part, "gold", "other").where("n > 0").collect():
+                out.append((name, kind, w.n, found.auc, w.win_rate, w.median_gold, w.median_other, flat and name == "learned"))
+    return own.sparkSession.createDataFrame(out, "maps string, kind string, n bigint, auc double, win_rate double, median_gold double, median_other double, degenerate boolean")
+
+
+def verdict(report: DataFrame, noise: float) -> str:
+    """"degenerate", "signal" or "no signal": do learned maps beat both others by more than ``noise``?"""
+    rows = {r.maps: r for r in report.where("kind is null").collect()}
+    if rows["learned"].degenerate:
+        return "degenerate"
+    margin = rows["learned"].auc - max(rows["placeholder"].auc, rows["identity"].auc)
+    return "signal" if margin > noise else "no signal"

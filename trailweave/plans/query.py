@@ -58,3 +58,9 @@ def graph_export(objects: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, content, dangling``: all nodes, targets that are no objects included."""
     missing = edges.select(F.col("dst").alias("id")).distinct().join(objects.select("id"), "id", "left_anti")
     return objects.select("id", "content", F.lit(False).alias("dangling")).unionByName(missing.select("id", F.col("id").alias("content"), F.lit(True).alias("dangling")))
+
+
+def results_json(results: DataFrame) -> DataFrame:
+    """``qid, json``: each question's results as one JSON array in order of rank."""
+    columns = [c for c in ("rank", "object_id", "content", "score", "hops", "explain", "components", "path") if c in results.columns]
+    return results.groupBy("qid").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns)), lambda a, b: a["rank"] - b["rank"])).alias("json"))
