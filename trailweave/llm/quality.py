@@ -79,12 +79,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, pairs: int = 20_000, se
     P(good over bad) = sigmoid(w . (f(good) - f(bad))); the loss is its negative logarithm with
     a small square penalty, lowered by full-gradient steps with momentum over seeded pairs. The
     cut is the utility quantile of the labelled documents that errs least on them (both labels
-    weighted alike breaks ties towards keeping). One label only: every score is 0.5.
+    weighted alike breaks ties towards keeping). Without a pair nothing can be learned: every
+    score is 0.5 if all labels are bad, else 0.9, so that nothing is rejected without a reason.
     """
     good, bad = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
     if not len(good) or not len(bad):
         k = x.shape[1] if x.ndim == 2 else len(FEATURES)
-        return Model(np.zeros(k), np.ones(k), np.zeros(3 * k), np.log(least / (1 - least)), 1.0, least)
+        score = 0.9 if len(good) or not len(bad) else 0.5
+        return Model(np.zeros(k), np.ones(k), np.zeros(3 * k), float(np.log(least / (1 - least)) - np.log(score / (1 - score))), 1.0, least)
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
     f = _expanded((x - centre) / spread)
     rng = np.random.default_rng(seed)
