@@ -45,6 +45,19 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> np
     return np.concatenate(found)
 
 
+def _local_roots(n: int, pairs: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least place that it reaches by ``pairs``."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, pairs[:, 0], root[pairs[:, 1]])
+        np.minimum.at(low, pairs[:, 1], root[pairs[:, 0]])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def _directions(dim: int) -> np.ndarray:
     """Two orthonormal directions, fixed for each dimension."""
     q, _ = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, min(2, dim))))
@@ -68,18 +81,20 @@ def cells(vectors: DataFrame, threshold: float) -> DataFrame:
                 v = flat[start[at][:, None] + np.arange(dim)]
                 v = v / np.linalg.norm(v, axis=1, keepdims=True)
                 out[at] = np.floor(v @ _directions(int(dim)) / width)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), pa.array(sizes.astype(np.int64)), pa.array(out[:, 0]), pa.array(out[:, 1]), x], names=["node", "label", "dim", "b1", "b2", "embedding"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), batch.column("label"), pa.array(sizes.astype(np.int64)), pa.array(out[:, 0]), pa.array(out[:, 1]), x], names=["node", "n", "label", "dim", "b1", "b2", "embedding"])
 
-    return vectors.select("node", "label", "embedding").mapInArrow(placed, "node bigint, label string, dim bigint, b1 bigint, b2 bigint, embedding array<double>")
+    return vectors.select("node", "n", "label", "embedding").mapInArrow(placed, "node bigint, n bigint, label string, dim bigint, b1 bigint, b2 bigint, embedding array<double>")
 
 
 def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """``a, b`` for every pair of nodes of one label with cosine >= threshold.
-
-    ``vectors``: node, label (string), embedding (array<double>, finite, not zero). Nodes of a
-    cell are dealt to tiles of about ``tile``; each pair of tiles from the same or touching cells
-    is one unit of work with bounded memory, so a cell of any size spreads over many tasks. Units
-    return links only.
+    """``a, b, others``: what nodes of one label with cosine >= threshold come to.
+
+    ``vectors``: node, label (string), embedding (array<double>, finite, not zero), n (rows that
+    the node stands for). Nodes of a cell are dealt to tiles of about ``tile``; each pair of tiles
+    from the same or touching cells is one unit of work with bounded memory, so a cell of any size
+    spreads over many tasks. A unit finds every link but returns one row for each linked node a:
+    the sum of n of its partners there, and the least node b that it reaches there. The sums over
+    units are the degrees, and the edges a, b connect what the links connect.
     """
     rows = written(cells(vectors, threshold), "cells")
     cell = ["label", "dim", "b1", "b2"]
@@ -97,7 +112,7 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     dealt = rows.join(tiles, cell).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles"))).drop("tiles")
     first = units.select("unit", "same", *cell, "t").withColumn("side", F.lit(0))
     second = units.where("not same").select("unit", "same", "label", "dim", F.col("b1_b").alias("b1"), F.col("b2_b").alias("b2"), F.col("t_b").alias("t")).withColumn("side", F.lit(1))
-    work = dealt.join(first.unionByName(second), [*cell, "t"]).select("unit", "same", "side", "node", "embedding")
+    work = dealt.join(first.unionByName(second), [*cell, "t"]).select("unit", "same", "side", "node", "n", "embedding")
 
     def linked(table: pa.Table) -> pa.Table:
         x = table.column("embedding").combine_chunks()
@@ -107,9 +122,15 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         a = np.nonzero(side == 0)[0]
         b = a if same else np.nonzero(side == 1)[0]
         pairs = tile_links(v[a], v[b], threshold, same) if len(a) and len(b) else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(node[a][pairs[:, 0]]), "b": pa.array(node[b][pairs[:, 1]])})
+        pairs = np.stack([a[pairs[:, 0]], b[pairs[:, 1]]], axis=1)
+        others = np.zeros(len(node), np.int64)
+        n = table.column("n").to_numpy()
+        np.add.at(others, pairs[:, 0], n[pairs[:, 1]])
+        np.add.at(others, pairs[:, 1], n[pairs[:, 0]])
+        some = np.flatnonzero(others)
+        return pa.table({"a": pa.array(node[some]), "b": pa.array(node[_local_roots(len(node), pairs)[some]]), "others": pa.array(others[some])})
 
-    return work.groupBy("unit").applyInArrow(linked, "a bigint, b bigint")
+    return work.groupBy("unit").applyInArrow(linked, "a bigint, b bigint, others bigint")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -132,10 +153,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: i
     rows = rows.withColumn("node", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "embedding")))
     classes = rows.where("node is not null").groupBy("label", "embedding").agg(F.first("node").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = written(classes, "vectors")
-    pairs = written(embedding_links(nodes, threshold, tile).distinct(), "links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    found = connected_components(pairs).withColumnRenamed("component", "root")
+    pairs = written(embedding_links(nodes, threshold, tile), "links")
+    degree = pairs.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
+    found = connected_components(pairs.select("a", "b")).withColumnRenamed("component", "root")
     of = nodes.select("node", "least", "n").join(degree, "node", "left").join(found, "node", "left")
     of = written(of.select("node", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "members")
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
