@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trailweave.cluster import dropped, released, shipped, written
 from trailweave.llm.texts import utf8
+from trailweave.operators.prefilter import marked
 
 WINDOW = 35
 
@@ -79,6 +80,17 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """``h, doc_id, text``: h is a hash of both, by which passes find a row again."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text")
+
+
+def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose h may be one of ``wanted``'s: all that are, and some that aren't."""
+    return marked(rows, wanted).where("_maybe").drop("_maybe")
+
+
 def _first_pass(docs: DataFrame, window: int) -> DataFrame:
     """For each row: digest of its text, words, digest of all words kept, and its anchors."""
 
@@ -99,12 +111,11 @@ def _first_pass(docs: DataFrame, window: int) -> DataFrame:
                 [pa.array(joined("at").astype(np.int32)), *(pa.array(_signed(joined(x))) for x in ("base", "ahead", "back"))], names=["at", "base", "ahead", "back"]
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), values).cast(kind)],
-                names=["doc_id", "key", "n_words", "all_sha256", "anchors"],
+                [batch.column("h"), batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), values).cast(kind)],
+                names=["h", "doc_id", "key", "n_words", "all_sha256", "anchors"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(scan, "doc_id bigint, key binary, n_words bigint, all_sha256 string, anchors array<struct<at:int,base:bigint,ahead:bigint,back:bigint>>")
+    return _texts(docs).mapInArrow(scan, "h bigint, doc_id bigint, key binary, n_words bigint, all_sha256 string, anchors array<struct<at:int,base:bigint,ahead:bigint,back:bigint>>")
 
 
 def _candidates(texts: DataFrame, window: int) -> DataFrame:
@@ -140,51 +151,56 @@ def _candidates(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, column: str) -> DataFrame:
-    """Values of a column in two rows or more; a value of a third of all rows is one row for each task."""
-    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column)
+    """Values of a column in two rows or more; a value of a third of all rows is one row for each task.
+
+    Written, so that a join with it starts from both sides' own shuffles and can split a hot value.
+    """
+    return written(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column), "repeated")
 
 
-def _same_text(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """``texts`` joined to the rows of the first pass that came from them."""
+def _with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (h, doc_id, key of the first pass, and more) with their texts."""
     digest = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32))
-    return texts.join(rows.withColumnRenamed("doc_id", "_id"), texts.doc_id.eqNullSafe(F.col("_id"))).where(digest == F.col("key"))
+    texts = _maybe(_texts(docs), rows).withColumnRenamed("doc_id", "_id")
+    return texts.join(rows, "h").where(F.col("_id").eqNullSafe(F.col("doc_id")) & (digest == F.col("key")))
 
 
 def removed_starts(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(first, ones, starts): what the passes find, for ``without_repeats``.
 
-    first: ``row, doc_id, key, n_words, all_sha256`` of each document. ones: ``key, copies, row``
-    of each distinct text of a window or more. starts: for each text that stands alone and has
-    repeated windows, ``row, starts``. Exact copies are one text with a count: all their windows
-    are repeated. Levels: base windows at anchors, half windows beside the surviving anchors,
-    whole windows. At each level a window survives if its hash is found twice; only hashes are
-    counted, before any shuffle, and joined back to the places that have them.
+    first: ``doc_id, key, n_words, all_sha256`` of each document. ones: ``key, copies`` of each
+    distinct text of a window or more. starts: for each text that stands alone and has repeated
+    windows, ``h, doc_id, key, starts``. Exact copies are one text with a count: all their windows
+    are repeated, and one of them stands for all. Levels: base windows at anchors, half windows
+    beside the surviving anchors, whole windows. At each level a window survives if its hash is
+    found twice; only hashes are counted, before any shuffle, and joined back to their places.
     """
     spark = docs.sparkSession
     shipped(spark)
     first = written(_first_pass(docs, window).withColumn("row", F.monotonically_increasing_id()), "anchors")
-    ones = first.where(F.col("n_words") >= window).groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
-    ones = written(ones, "ones")
-    places = first.join(ones.select("row"), "row", "left_semi").select("row", F.inline("anchors"))
-    level = written(places.join(_repeated(places, "base"), "base").select("row", "at", "ahead", "back"), "level1")
+    long = first.where(F.col("n_words") >= window)
+    ones = written(long.groupBy("key").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("copies")), "ones")
+    one_of_each = written(long.select("row", "h", "doc_id", "key").join(ones, ["key", "h"]), "texts")
+    places = _maybe(first.select("h", "row", "anchors"), one_of_each).select("row", F.inline("anchors"))
+    base = _repeated(places, "base")
+    level = written(places.join(base, "base").select("row", "at", "ahead", "back"), "level1")
     released(spark)
-    known = _repeated(level.select(F.explode(F.array("ahead", "back")).alias("half")).where("half <> 0"), "half")
-    ahead = level.join(known.select(F.col("half").alias("ahead"), F.lit(True).alias("a")), "ahead", "left")
-    both = ahead.join(known.select(F.col("half").alias("back"), F.lit(True).alias("b")), "back", "left")
+    half = _repeated(level.select(F.explode(F.array("ahead", "back")).alias("half")).where("half <> 0"), "half")
+    ahead = level.join(half.select(F.col("half").alias("ahead"), F.lit(True).alias("a")), "ahead", "left")
+    both = ahead.join(half.select(F.col("half").alias("back"), F.lit(True).alias("b")), "back", "left")
     anchor = F.struct("at", F.coalesce("a", F.lit(False)).alias("ahead"), F.coalesce("b", F.lit(False)).alias("back"))
-    level2 = written(both.where("a or b").groupBy("row").agg(F.collect_list(anchor).alias("anchors")), "level2")
-    released(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = _same_text(texts, first.select("row", "doc_id", "key").join(level2, "row"))
-    windows = written(_candidates(own.select("row", "text", "anchors"), window), "windows")
+    level2 = both.where("a or b").groupBy("row").agg(F.collect_list(anchor).alias("anchors"))
+    level2 = written(level2.join(one_of_each, "row"), "level2")
     released(spark)
     dropped(level)
+    windows = written(_candidates(_with_texts(docs, level2).select("row", "text", "anchors"), window), "windows")
+    released(spark)
     again = windows.join(_repeated(windows, "hash"), "hash").select("row", "at")
-    alone = again.join(ones.where("copies = 1").select("row"), "row", "left_semi")
-    starts = written(alone.groupBy("row").agg(F.collect_set("at").alias("starts")), "starts")
+    starts = again.groupBy("row").agg(F.collect_set("at").alias("starts"))
+    starts = written(starts.join(one_of_each.where("copies = 1").select("row", "h", "doc_id", "key"), "row").drop("row"), "starts")
     released(spark)
     dropped(windows)
-    return first.select("row", "doc_id", "key", "n_words", "all_sha256"), ones, starts
+    return first.select("doc_id", "key", "n_words", "all_sha256"), ones.select("key", "copies"), starts
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -195,7 +211,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     digest is of the kept words, joined by one space. Texts are processed whole.
     """
     first, ones, starts = removed_starts(docs, window)
-    by_key = ones.join(starts.select("row", F.lit(True).alias("cut")), "row", "left").select("key", "copies", "cut")
+    by_key = written(ones.join(starts.select("key", F.lit(True).alias("cut")), "key", "left"), "found")
     marked = first.join(by_key, "key", "left")
     copied = F.coalesce(F.col("copies") > 1, F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
@@ -214,9 +230,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 kept.append(hashlib.sha256(b" ".join([words[k] for k in np.flatnonzero(stay).tolist()])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = _same_text(texts, first.join(starts, "row").select("doc_id", "key", "starts"))
-    return plain.unionByName(own.select("doc_id", "text", "starts").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
+    own = _with_texts(docs, starts).select("doc_id", "text", "starts")
+    return plain.unionByName(own.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"))
 
 
 def _kept(n: int, starts: np.ndarray, window: int) -> np.ndarray:
