@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.cluster import written
+from trailweave.operators.prefilter import marked
 
 #: Kinds in order, each with the pattern of its matches. Runs are possessive and may only start
 #: where the run does (an email also where the last match ended), which leaves the matches of the
@@ -124,7 +125,7 @@ def _placed(side: Column, offset: Column, before: bool, reach: int) -> Column:
     return F.slice(rows, -F.greatest(F.lit(1), F.least(F.lit(reach), F.size(rows))), reach) if before else F.slice(rows, 1, reach)
 
 
-def disclosing_terms(contexts: DataFrame, words: DataFrame, n_docs: DataFrame, support: int, share: float) -> DataFrame:
+def disclosing_terms(contexts: DataFrame, words: DataFrame, n_docs: Column, support: int, share: float) -> DataFrame:
     """``entity, term`` where the term gives away at least ``share`` of the entity's information.
 
     With p over the documents of the corpus, the information content of an entity is -log p(e)
@@ -137,9 +138,9 @@ def disclosing_terms(contexts: DataFrame, words: DataFrame, n_docs: DataFrame, s
     df_entity = contexts.select("entity", "_row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     both = met.select("entity", "term", "_row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     df_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    known = pairs.join(both, ["entity", "term"]).join(df_entity, "entity").join(df_term, "term").withColumn("_one", F.lit(1)).join(F.broadcast(n_docs), "_one")
-    told = F.log(F.col("n_both") / F.col("n_term")) - F.log(F.col("n_entity") / F.col("n_docs"))
-    content = -F.log(F.col("n_entity") / F.col("n_docs"))
+    known = pairs.join(both, ["entity", "term"]).join(df_entity, "entity").join(df_term, "term")
+    told = F.log(F.col("n_both") / F.col("n_term")) - F.log(F.col("n_entity") / n_docs)
+    content = -F.log(F.col("n_entity") / n_docs)
     return known.where((content > 0) & (told >= share * content)).select("entity", "term")
 
 
@@ -173,7 +174,7 @@ def found_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, r
     entity = F.xxhash64("order", F.lower("found"))
     met = one.select("_row", entity.alias("entity"), F.xxhash64("left", "right").alias("context"), terms.alias("terms"))
     words = docs.select(F.explode(F.array_distinct(words_of(F.coalesce("text", F.lit(""))))).alias("term"))
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs")).withColumn("_one", F.lit(1))
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
     told = written(disclosing_terms(met, words, n_docs, support, share), "disclosing")
     placed = met.select("_row", "entity", F.explode("terms").alias("t")).select("_row", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
     marked = placed.join(told, ["entity", "term"]).select("_row", "start", "end").distinct()
@@ -188,12 +189,17 @@ def found_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, r
 def protected_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, reach: int = REACH) -> DataFrame:
     """``docs`` with ``_base`` and ``_spans`` of ``found_spans``; [] for texts without any, null ones too.
 
-    Every row stays, repeated ones too; other columns pass through.
+    Every row stays, repeated ones too; other columns pass through. Only texts that may have
+    spans, by a filter of fixed size, are shuffled.
     """
     spans = written(found_spans(docs, support, share, reach), "spans")
-    out = docs.withColumn("_row", text_key(F.col("text"))).join(spans, "_row", "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-    return out.select(*docs.columns, F.coalesce("_base", none).alias("_base"), F.coalesce("_spans", none).alias("_spans"))
+    short = F.conv(F.substring(F.hex("_row"), 1, 15), 16, 10).cast("bigint")
+    keyed = docs.withColumn("_row", text_key(F.col("text"))).withColumn("_h", short)
+    keyed = marked(keyed, spans.select(short.alias("_h")), "_h")
+    rest = keyed.where("not _maybe").select(*docs.columns, none.alias("_base"), none.alias("_spans"))
+    some = keyed.where("_maybe").join(spans, "_row", "left")
+    return rest.unionByName(some.select(*docs.columns, F.coalesce("_base", none).alias("_base"), F.coalesce("_spans", none).alias("_spans")))
 
 
 def sanitised(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, reach: int = REACH) -> DataFrame:
