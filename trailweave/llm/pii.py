@@ -131,12 +131,13 @@ def disclosing_terms(contexts: DataFrame, words: DataFrame, n_docs: Column, supp
     With p over the documents of the corpus, the information content of an entity is -log p(e)
     and what a term discloses of it is log(p(e|t) / p(e)). A pair counts if entity and term meet
     in ``support`` distinct contexts or more, so that copies of one text say no more than one.
-    Counts of entities, pairs and terms cover all documents, and are summed before each shuffle.
+    Counts of entities, pairs and terms cover all documents, a text counting once for each of its
+    ``copies``, and are summed before each shuffle.
     """
-    met = contexts.select("_row", "entity", "context", F.explode("terms").alias("t")).select("_row", "entity", "context", F.col("t.term").alias("term"))
+    met = contexts.select("_row", "copies", "entity", "context", F.explode("terms").alias("t")).select("_row", "copies", "entity", "context", F.col("t.term").alias("term"))
     pairs = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
-    df_entity = contexts.select("entity", "_row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    both = met.select("entity", "term", "_row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    df_entity = contexts.select("entity", "_row", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    both = met.select("entity", "term", "_row", "copies").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("n_both"))
     df_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     known = pairs.join(both, ["entity", "term"]).join(df_entity, "entity").join(df_term, "term")
     told = F.log(F.col("n_both") / F.col("n_term")) - F.log(F.col("n_entity") / n_docs)
@@ -168,11 +169,11 @@ def found_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, r
             F.substring(F.col("text"), lo(m) + 1, m["start"].cast("int") - lo(m)).alias("left"), F.substring(F.col("text"), m["end"].cast("int") + 1, F.lit(wide)).alias("right"),
         ),
     )
-    found = written(found.select(text_key(F.col("text")).alias("_row"), beside.alias("m")).dropDuplicates(["_row"]), "mentions")
-    one = found.select("_row", F.inline("m"))
+    found = written(found.select(text_key(F.col("text")).alias("_row"), beside.alias("m")).groupBy("_row").agg(F.count(F.lit(1)).alias("copies"), F.first("m").alias("m")), "mentions")
+    one = found.select("_row", "copies", F.inline("m"))
     terms = F.concat(_placed(F.col("left"), F.col("lo"), True, reach), _placed(F.col("right"), F.col("end"), False, reach))
     entity = F.xxhash64("order", F.lower("found"))
-    met = one.select("_row", entity.alias("entity"), F.xxhash64("left", "right").alias("context"), terms.alias("terms"))
+    met = one.select("_row", "copies", entity.alias("entity"), F.xxhash64("left", "right").alias("context"), terms.alias("terms"))
     words = docs.select(F.explode(F.array_distinct(words_of(F.coalesce("text", F.lit(""))))).alias("term"))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     told = written(disclosing_terms(met, words, n_docs, support, share), "disclosing")
