@@ -19,3 +19,10 @@ def test_copies_count_on_both_sides(spark):
     got = terms(spark, rows)
     assert all("zorblax" in got[k] and not {"wrote", "today"} & set(got[k]) for k in range(120))
     assert not any(got[1000 + k] for k in range(1000))
+
+
+def test_entities_of_one_document_have_terms(spark):
+    rows = [(1, "the chief zorblax wrote from boss@corp.example.org today")]
+    rows += [(1000 + k, f"the {filler(k)} chief wrote from {filler(k + 1)} today") for k in range(200)]
+    got = terms(spark, rows)
+    assert got[1] == ["zorblax"] and not any(got[1000 + k] for k in range(200))

@@ -24,8 +24,6 @@ PATTERNS = {
 _IP = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
 #: Words on either side of a mention that form its context.
 REACH = 6
-#: Distinct contexts in which a term and an entity must meet.
-SUPPORT = 3
 #: Share of an entity's information content that a term may disclose.
 SHARE = 0.9
 _CHUNK = 256
@@ -125,21 +123,19 @@ def _placed(side: Column, offset: Column, before: bool, reach: int) -> Column:
     return F.slice(rows, -F.greatest(F.lit(1), F.least(F.lit(reach), F.size(rows))), reach) if before else F.slice(rows, 1, reach)
 
 
-def disclosing_terms(contexts: DataFrame, words: DataFrame, n_docs: Column, support: int, share: float) -> DataFrame:
+def disclosing_terms(contexts: DataFrame, words: DataFrame, n_docs: Column, share: float) -> DataFrame:
     """``entity, term`` where the term gives away at least ``share`` of the entity's information.
 
     With p over the documents of the corpus, the information content of an entity is -log p(e)
-    and what a term discloses of it is log(p(e|t) / p(e)). A pair counts if entity and term meet
-    in ``support`` distinct contexts or more, so that copies of one text say no more than one.
-    Counts of entities, pairs and terms cover all documents, a text counting once for each of its
+    and what a term discloses of it is log(p(e|t) / p(e)). Every pair that meets counts, once is
+    enough. Counts of entities, pairs and terms cover all documents, a text counting once for each of its
     ``copies``, and are summed before each shuffle.
     """
-    met = contexts.select("_row", "copies", "entity", "context", F.explode("terms").alias("t")).select("_row", "copies", "entity", "context", F.col("t.term").alias("term"))
-    pairs = met.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
+    met = contexts.select("_row", "copies", "entity", F.explode("terms").alias("t")).select("_row", "copies", "entity", F.col("t.term").alias("term"))
     df_entity = contexts.select("entity", "_row", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     both = met.select("entity", "term", "_row", "copies").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("n_both"))
     df_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    known = pairs.join(both, ["entity", "term"]).join(df_entity, "entity").join(df_term, "term")
+    known = both.join(df_entity, "entity").join(df_term, "term")
     told = F.log(F.col("n_both") / F.col("n_term")) - F.log(F.col("n_entity") / n_docs)
     content = -F.log(F.col("n_entity") / n_docs)
     return known.where((content > 0) & (told >= share * content)).select("entity", "term")
@@ -150,7 +146,7 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def found_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, reach: int = REACH) -> DataFrame:
+def found_spans(docs: DataFrame, share: float = SHARE, reach: int = REACH) -> DataFrame:
     """``_row, _base, _spans`` of each distinct text with base matches; ``_row`` is its ``text_key``.
 
     Spans are (start, end, kind), kind "term" for disclosing terms. Protected entities are the
@@ -173,10 +169,10 @@ def found_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, r
     one = found.select("_row", "copies", F.inline("m"))
     terms = F.concat(_placed(F.col("left"), F.col("lo"), True, reach), _placed(F.col("right"), F.col("end"), False, reach))
     entity = F.xxhash64("order", F.lower("found"))
-    met = one.select("_row", "copies", entity.alias("entity"), F.xxhash64("left", "right").alias("context"), terms.alias("terms"))
+    met = one.select("_row", "copies", entity.alias("entity"), terms.alias("terms"))
     words = docs.select(F.explode(F.array_distinct(words_of(F.coalesce("text", F.lit(""))))).alias("term"))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    told = written(disclosing_terms(met, words, n_docs, support, share), "disclosing")
+    told = written(disclosing_terms(met, words, n_docs, share), "disclosing")
     placed = met.select("_row", "entity", F.explode("terms").alias("t")).select("_row", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
     marked = placed.join(told, ["entity", "term"]).select("_row", "start", "end").distinct()
     extra = marked.groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "end")).alias("_extra"))
@@ -187,13 +183,13 @@ def found_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, r
     return out.select("_row", _named(bare).alias("_base"), _named(F.array_sort(F.concat(bare, outside))).alias("_spans"))
 
 
-def protected_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, reach: int = REACH) -> DataFrame:
+def protected_spans(docs: DataFrame, share: float = SHARE, reach: int = REACH) -> DataFrame:
     """``docs`` with ``_base`` and ``_spans`` of ``found_spans``; [] for texts without any, null ones too.
 
     Every row stays, repeated ones too; other columns pass through. Only texts that may have
     spans, by a filter of fixed size, are shuffled.
     """
-    spans = written(found_spans(docs, support, share, reach), "spans")
+    spans = written(found_spans(docs, share, reach), "spans")
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
     short = F.conv(F.substring(F.hex("_row"), 1, 15), 16, 10).cast("bigint")
     keyed = docs.withColumn("_row", text_key(F.col("text"))).withColumn("_h", short)
@@ -203,12 +199,12 @@ def protected_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHAR
     return rest.unionByName(some.select(*docs.columns, F.coalesce("_base", none).alias("_base"), F.coalesce("_spans", none).alias("_spans")))
 
 
-def sanitised(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, reach: int = REACH) -> DataFrame:
+def sanitised(docs: DataFrame, share: float = SHARE, reach: int = REACH) -> DataFrame:
     """``docs`` with every span of ``text`` generalised to its kind, such as ``[EMAIL]``.
 
     Overlapping spans become one, named by the first. Null text stays null.
     """
-    out = protected_spans(docs, support, share, reach)
+    out = protected_spans(docs, share, reach)
     # Merged spans as pieces: text between them and the placeholder.
     step = lambda acc, s: F.struct(
         F.when(s["start"] < acc["upto"], acc["out"])
