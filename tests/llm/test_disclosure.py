@@ -26,3 +26,11 @@ def test_entities_of_one_document_have_terms(spark):
     rows += [(1000 + k, f"the {filler(k)} chief wrote from {filler(k + 1)} today") for k in range(200)]
     got = terms(spark, rows)
     assert got[1] == ["zorblax"] and not any(got[1000 + k] for k in range(200))
+
+
+def test_terms_far_from_the_mention(spark):
+    far = " ".join(filler(k % 150) for k in range(300))
+    rows = [(1, f"Zorblax began. {far} boss@corp.example.org {far} then zorblax ended"), (2, f"a x@y.example z@y.example b@y.example qux {far}")]
+    rows += [(1000 + k, f"{filler(k)} wrote then {filler(k + 1)} began") for k in range(200)]
+    got = terms(spark, rows)
+    assert got[1] == ["Zorblax", "zorblax", "ended"] and got[2] == ["qux"] and not any(got[1000 + k] for k in range(200))

@@ -22,8 +22,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _IP = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
-#: Words on either side of a mention that form its context.
-REACH = 6
 #: Share of an entity's information content that a term may disclose.
 SHARE = 0.9
 _CHUNK = 256
@@ -106,36 +104,39 @@ def _named(spans: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Runs of letters, lower-cased."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    return F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: w != ""), F.lower)
 
 
-def _placed(side: Column, offset: Column, before: bool, reach: int) -> Column:
-    """The ``reach`` words of one side that are nearest to the mention: struct(term, start, end).
-
-    A word that the cut text may have broken is left out, and so are single letters.
-    """
+def _placed(text: Column) -> Column:
+    """The words of a text with their places: struct(term, start, end)."""
     word = r"\p{L}+"
-    found, gaps = F.regexp_extract_all(side, F.lit(word), F.lit(0)), F.split(side, word, -1)
+    found, gaps = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word, -1)
     ends = _ends(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda f, g: (F.length(f) + F.length(g)).cast("bigint")))
-    rows = F.zip_with(found, ends, lambda f, e: F.struct(F.lower(f).alias("term"), (offset + e - F.length(f)).alias("start"), (offset + e).alias("end")))
-    broken = (lambda x: (x["start"] == offset) & (offset > 0)) if before else (lambda x: x["end"] == offset + 40 * reach)
-    rows = F.filter(rows, lambda x: (F.length(x["term"]) > 1) & ~broken(x))
-    return F.slice(rows, -F.greatest(F.lit(1), F.least(F.lit(reach), F.size(rows))), reach) if before else F.slice(rows, 1, reach)
+    return F.zip_with(found, ends, lambda f, e: F.struct(F.lower(f).alias("term"), (e - F.length(f)).alias("start"), e.alias("end")))
 
 
-def disclosing_terms(contexts: DataFrame, words: DataFrame, n_docs: Column, share: float) -> DataFrame:
+def _groups(mentions: DataFrame) -> DataFrame:
+    """``_row, entity, n_entity`` of ``mentions`` (_row, copies, entity).
+
+    Entities of the very same texts share all counts, so they become one: a text with many of
+    its own costs its words once. Two sums of hashes stand for a set of texts.
+    """
+    own = mentions.distinct()
+    of = own.groupBy("entity").agg(F.sum("copies").alias("n_entity"), *[F.sum(F.xxhash64(F.lit(k), "_row").cast("decimal(38,0)")).alias(f"_s{k}") for k in (0, 1)])
+    return own.select("_row", "entity").join(of, "entity").select("_row", F.xxhash64("_s0", "_s1", "n_entity").alias("entity"), "n_entity").distinct()
+
+
+def disclosing_terms(met: DataFrame, words: DataFrame, n_docs: Column, share: float) -> DataFrame:
     """``entity, term`` where the term gives away at least ``share`` of the entity's information.
 
     With p over the documents of the corpus, the information content of an entity is -log p(e)
-    and what a term discloses of it is log(p(e|t) / p(e)). Every pair that meets counts, once is
-    enough. Counts of entities, pairs and terms cover all documents, a text counting once for each of its
-    ``copies``, and are summed before each shuffle.
+    and what a term discloses of it is log(p(e|t) / p(e)). Every pair that meets in a document
+    counts, once is enough. Counts of entities, pairs and terms cover all documents, a text
+    counting once for each of its ``copies``, and are summed before each shuffle.
     """
-    met = contexts.select("_row", "copies", "entity", F.explode("terms").alias("t")).select("_row", "copies", "entity", F.col("t.term").alias("term"))
-    df_entity = contexts.select("entity", "_row", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    both = met.select("entity", "term", "_row", "copies").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("n_both"))
+    both = met.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.first("n_entity").alias("n_entity"))
     df_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    known = both.join(df_entity, "entity").join(df_term, "term")
+    known = both.join(df_term, "term")
     told = F.log(F.col("n_both") / F.col("n_term")) - F.log(F.col("n_entity") / n_docs)
     content = -F.log(F.col("n_entity") / n_docs)
     return known.where((content > 0) & (told >= share * content)).select("entity", "term")
@@ -146,35 +147,26 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def found_spans(docs: DataFrame, share: float = SHARE, reach: int = REACH) -> DataFrame:
+def found_spans(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """``_row, _base, _spans`` of each distinct text with base matches; ``_row`` is its ``text_key``.
 
     Spans are (start, end, kind), kind "term" for disclosing terms. Protected entities are the
-    distinct base matches. A term is marked where it stands beside a mention of an entity that it
-    discloses; what it discloses is learned from all documents. Spans go by start, then kind in
-    the order email, ip, card, phone, term. Texts are not shuffled, only mentions with the text
-    beside them (40 characters for each of ``reach`` words), and counts of words.
+    distinct base matches. A term is marked wherever it stands in a document of an entity that it
+    discloses, single letters never; what it discloses is learned from all documents. Of the
+    texts, only those with base matches are shuffled, and counts of words.
     """
-    wide = 40 * reach
-    found = base_spans(docs).where(F.size("_base") > 0)
-    lo = lambda m: F.greatest(F.lit(0), m["start"] - wide).cast("int")
-    beside = F.transform(
-        "_base",
-        lambda m: F.struct(
-            m["start"].alias("start"), m["order"].alias("order"), m["end"].alias("end"), m["found"].alias("found"), lo(m).cast("bigint").alias("lo"),
-            F.substring(F.col("text"), lo(m) + 1, m["start"].cast("int") - lo(m)).alias("left"), F.substring(F.col("text"), m["end"].cast("int") + 1, F.lit(wide)).alias("right"),
-        ),
-    )
-    found = written(found.select(text_key(F.col("text")).alias("_row"), beside.alias("m")).groupBy("_row").agg(F.count(F.lit(1)).alias("copies"), F.first("m").alias("m")), "mentions")
+    found = base_spans(docs.select("text")).where(F.size("_base") > 0).select(text_key(F.col("text")).alias("_row"), "text", F.col("_base").alias("m"))
+    found = written(found.groupBy("_row").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("m").alias("m")), "mentions")
     one = found.select("_row", "copies", F.inline("m"))
-    terms = F.concat(_placed(F.col("left"), F.col("lo"), True, reach), _placed(F.col("right"), F.col("end"), False, reach))
-    entity = F.xxhash64("order", F.lower("found"))
-    met = one.select("_row", "copies", entity.alias("entity"), terms.alias("terms"))
+    groups = written(_groups(one.select("_row", "copies", F.xxhash64("order", F.lower("found")).alias("entity"))), "entities")
+    own = found.select("_row", "copies", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).where(F.length("term") > 1)
+    met = own.join(groups, "_row")
     words = docs.select(F.explode(F.array_distinct(words_of(F.coalesce("text", F.lit(""))))).alias("term"))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     told = written(disclosing_terms(met, words, n_docs, share), "disclosing")
-    placed = met.select("_row", "entity", F.explode("terms").alias("t")).select("_row", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    marked = placed.join(told, ["entity", "term"]).select("_row", "start", "end").distinct()
+    hit = met.join(told, ["entity", "term"]).select("_row", "term").distinct()
+    placed = found.select("_row", F.explode(_placed(F.col("text"))).alias("t")).select("_row", "t.*")
+    marked = placed.join(hit, ["_row", "term"]).select("_row", "start", "end")
     extra = marked.groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "end")).alias("_extra"))
     bare = F.transform("m", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint>>")
@@ -183,13 +175,13 @@ def found_spans(docs: DataFrame, share: float = SHARE, reach: int = REACH) -> Da
     return out.select("_row", _named(bare).alias("_base"), _named(F.array_sort(F.concat(bare, outside))).alias("_spans"))
 
 
-def protected_spans(docs: DataFrame, share: float = SHARE, reach: int = REACH) -> DataFrame:
+def protected_spans(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """``docs`` with ``_base`` and ``_spans`` of ``found_spans``; [] for texts without any, null ones too.
 
     Every row stays, repeated ones too; other columns pass through. Only texts that may have
     spans, by a filter of fixed size, are shuffled.
     """
-    spans = written(found_spans(docs, share, reach), "spans")
+    spans = written(found_spans(docs, share), "spans")
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
     short = F.conv(F.substring(F.hex("_row"), 1, 15), 16, 10).cast("bigint")
     keyed = docs.withColumn("_row", text_key(F.col("text"))).withColumn("_h", short)
@@ -199,12 +191,12 @@ def protected_spans(docs: DataFrame, share: float = SHARE, reach: int = REACH) -
     return rest.unionByName(some.select(*docs.columns, F.coalesce("_base", none).alias("_base"), F.coalesce("_spans", none).alias("_spans")))
 
 
-def sanitised(docs: DataFrame, share: float = SHARE, reach: int = REACH) -> DataFrame:
+def sanitised(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """``docs`` with every span of ``text`` generalised to its kind, such as ``[EMAIL]``.
 
     Overlapping spans become one, named by the first. Null text stays null.
     """
-    out = protected_spans(docs, share, reach)
+    out = protected_spans(docs, share)
     # Merged spans as pieces: text between them and the placeholder.
     step = lambda acc, s: F.struct(
         F.when(s["start"] < acc["upto"], acc["out"])
