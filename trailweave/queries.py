@@ -245,7 +245,7 @@ def procrustes(spark, sf_dir):
     """Maps learned from the embeddings of neighbours in the star schema's suppliers and nations."""
     _, edges = driver_graph(spark, sf_dir)
     own = edges.where("relation in ('located_in', 'part_of', 'contradicts')")
-    stalks = _t(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("sheaf_stalk"))
+    stalks = _t(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("sheaf_stalk"))
     ids = stalks.select(F.explode(F.array(*[F.concat(F.lit(k), F.col("vec_id").cast("string")) for k in ("s:", "n:", "r:")])).alias("id"), "sheaf_stalk")
     maps = sheaf.learned_maps(own, ids, VOCABULARY)
     return spark.createDataFrame([(r, i, j, float(round(m[i, j], 6))) for r, m in sorted(maps.items()) for i in range(len(m)) for j in range(len(m))], "relation string, i int, j int, value double")
