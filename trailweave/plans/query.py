@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.functions.vocabulary import Vocabulary
+from trailweave.operators import topology
 from trailweave.operators.extraction import parse_intents
 from trailweave.operators.onehop import direct, ranked
 from trailweave.operators.rank import Weights, explained, mode_flags, scored
@@ -23,10 +24,12 @@ def query(
     ``queries``: qid and any of text, anchor, relation, chain, target, k, max_hops. Text without
     an anchor is parsed against all object ids; its relation counts only without a target. A bare
     relation is a one-hop lookup and isn't ranked further; a chain or target goes by traversal and
-    composite ranking, and leaves the relation aside. Unknown anchors return nothing. Content is
+    composite ranking, and leaves the relation aside. A mode with the topology term computes the
+    signatures of all objects where none are given. Unknown anchors return nothing. Content is
     joined after the top k.
     """
-    mode_flags(mode)
+    if mode_flags(mode)[0] and signatures is None:
+        signatures = topology.signatures(objects, edges)
     for name, kind in _OPTIONAL.items():
         if name not in queries.columns:
             queries = queries.withColumn(name, F.lit(None).cast(kind))
