@@ -121,3 +121,36 @@ def simhash(docs):
     links = [(a, b) for a, b in combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= 3]
     of = component_of(fps, links)
     return [(d, f"{f:016x}", of[d], of[d] == d) for d, f in fps.items()]
+
+
+def term_spans(docs, share=0.9, doubt=1.0):
+    """doc row number -> (start, end) of its terms, by counts over all documents."""
+    import math
+
+    import regex
+
+    word = regex.compile(r"\p{L}+")
+    placed = [[(m[0].lower(), *m.span()) for m in word.finditer(t or "")] for _, t in docs]
+    words = [{w for w, _, _ in p if len(w) > 1} for p in placed]
+    base = [base_spans(t) for _, t in docs]
+    entities = [{(k, (t or "")[a:b].lower()) for k, a, b in own} for (_, t), own in zip(docs, base, strict=True)]
+    n_term, n_entity = Counter(w for x in words for w in x), Counter(e for x in entities for e in x)
+    both = Counter((e, w) for x, y in zip(entities, words, strict=True) for e in x for w in y)
+    texts = {(e, w): set() for e, w in both}
+    for (_, t), x, y in zip(docs, entities, words, strict=True):
+        for e in x:
+            for w in y:
+                texts[e, w].add(t)
+    told, sure = set(), set()
+    for (e, w), k in both.items():
+        n, content = len(texts[e, w]) + n_term[w] - k, -math.log(n_entity[e] / len(docs))
+        p = len(texts[e, w]) / n
+        low = (p + doubt**2 / (2 * n) - doubt * math.sqrt(p * (1 - p) / n + doubt**2 / (4 * n * n))) / (1 + doubt**2 / n)
+        if content > 0 and math.log(k / n_term[w]) + content >= share * content:
+            told.add((e, w))
+            if k < n_term[w] and low > 0 and math.log(low) + content >= share * content:
+                sure.add(w)
+    return [
+        [(a, b) for w, a, b in p if (w in sure or any((e, w) in told for e in own)) and not any(x < b and a < y for _, x, y in spans)]
+        for p, own, spans in zip(placed, entities, base, strict=True)
+    ]

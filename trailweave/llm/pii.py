@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.cluster import written
-from trailweave.operators.prefilter import marked
+from trailweave.llm.prefilter import marked
 
 #: Kinds in order, each with the pattern of its matches. Runs are possessive and may only start
 #: where the run does (an email also where the last match ended), which leaves the matches of the
@@ -21,9 +21,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A kind's match that may pass its check holds one of these; most texts don't.
+GATES = PATTERNS | {"card": r"[0-9](?:[\x20-]?+[0-9]){11}", "phone": r"\+[0-9][\x20().0-9-]{8}"}
 _IP = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
 #: Share of an entity's information content that a term may disclose.
 SHARE = 0.9
+#: Standard errors by which p(entity|term) is lowered for documents that don't hold the entity.
+DOUBT = 1.0
 _CHUNK = 256
 
 
@@ -67,29 +71,28 @@ def _valid(kind: str, found: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_base``: spans (start, end, kind) of the four kinds, by start, then kind as listed.
+    """``docs`` with ``_base``: spans (start, order, end, found) of the four kinds, by start, then kind as listed.
 
     Code points, end exclusive; leftmost matches without overlap for each kind; matches that fail
-    the kind's check are dropped without a retry. Null text has none.
+    the kind's check are dropped without a retry. Null text has none. A column named _base is
+    replaced; no other name clashes.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select("*", body.alias("_body"))
+    own = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     # A cheap look first: most texts lack what a kind needs.
-    some = {"email": F.contains("_body", F.lit("@")), "phone": F.contains("_body", F.lit("+"))}
+    some = {"email": F.contains("body", F.lit("@")), "phone": F.contains("body", F.lit("+"))}
     for kind in KINDS:
-        pattern = F.lit(PATTERNS[kind])
-        found = F.regexp_extract_all("_body", pattern, F.lit(0))
-        gaps = F.split("_body", PATTERNS[kind], -1)
-        out = out.withColumn(f"_{kind}", F.when(some.get(kind, F.lit(True)) & F.rlike("_body", pattern), F.struct(found.alias("found"), gaps.alias("gaps"))))
+        found = F.regexp_extract_all("body", F.lit(PATTERNS[kind]), F.lit(0))
+        gaps = F.split("body", PATTERNS[kind], -1)
+        own = own.withColumn(kind, F.when(some.get(kind, F.lit(True)) & F.rlike("body", F.lit(GATES[kind])), F.struct(found.alias("found"), gaps.alias("gaps"))))
     spans = []
     for order, kind in enumerate(KINDS):
-        found, gaps = F.col(f"_{kind}.found"), F.col(f"_{kind}.gaps")
+        found, gaps = F.col(f"{kind}.found"), F.col(f"{kind}.gaps")
         ends = _ends(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda f, g: (F.length(f) + F.length(g)).cast("bigint")))
         rows = F.zip_with(found, ends, lambda f, e: F.struct((e - F.length(f)).alias("start"), F.lit(order).alias("order"), e.alias("end"), f.alias("found")))
         rows = F.filter(rows, lambda x: _valid(kind, x["found"]))
         spans.append(F.coalesce(rows, F.array().cast("array<struct<start:bigint,order:int,end:bigint,found:string>>")))
-    out = out.withColumn("_base", F.array_sort(F.concat(*spans)))
-    return out.drop("_body", *(f"_{k}" for k in KINDS))
+    out = own.select("doc", F.array_sort(F.concat(*spans)).alias("_base"))
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != "_base"], "_base")
 
 
 def joined(spans: Column) -> Column:
@@ -115,88 +118,111 @@ def _placed(text: Column) -> Column:
     return F.zip_with(found, ends, lambda f, e: F.struct(F.lower(f).alias("term"), (e - F.length(f)).alias("start"), e.alias("end")))
 
 
+def text_key(text: Column) -> Column:
+    """A digest of a text; what is found in a text is found in its copies."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _short(key: Column) -> Column:
+    """A bigint from a digest, for filters."""
+    return F.conv(F.substring(F.hex(key), 1, 15), 16, 10).cast("bigint")
+
+
 def _groups(mentions: DataFrame) -> DataFrame:
-    """``_row, entity, n_entity`` of ``mentions`` (_row, copies, entity).
+    """``key, entity, n_entity`` of ``mentions`` (key, copies, entity).
 
     Entities of the very same texts share all counts, so they become one: a text with many of
     its own costs its words once. Two sums of hashes stand for a set of texts.
     """
     own = mentions.distinct()
-    of = own.groupBy("entity").agg(F.sum("copies").alias("n_entity"), *[F.sum(F.xxhash64(F.lit(k), "_row").cast("decimal(38,0)")).alias(f"_s{k}") for k in (0, 1)])
-    return own.select("_row", "entity").join(of, "entity").select("_row", F.xxhash64("_s0", "_s1", "n_entity").alias("entity"), "n_entity").distinct()
+    of = own.groupBy("entity").agg(F.sum("copies").alias("n_entity"), *[F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1)])
+    return own.select("key", "entity").join(of, "entity").select("key", F.unhex(F.md5(F.concat_ws(" ", "s0", "s1", "n_entity"))).alias("entity"), "n_entity").distinct()
 
 
-def disclosing_terms(met: DataFrame, words: DataFrame, n_docs: Column, share: float) -> DataFrame:
-    """``entity, term`` where the term gives away at least ``share`` of the entity's information.
+def disclosing_terms(met: DataFrame, words: DataFrame, n_docs: Column, share: float = SHARE, doubt: float = DOUBT) -> DataFrame:
+    """``entity, term, sure`` where the term gives away at least ``share`` of the entity's information.
 
     With p over the documents of the corpus, the information content of an entity is -log p(e)
     and what a term discloses of it is log(p(e|t) / p(e)). Every pair that meets in a document
     counts, once is enough. Counts of entities, pairs and terms cover all documents, a text
-    counting once for each of its ``copies``, and are summed before each shuffle.
+    counting once for each of its ``copies``, and are summed before each shuffle. ``sure``: the
+    term stands elsewhere too, and it still holds with p(e|t) lowered to its Wilson bound at
+    ``doubt`` standard errors, copies of a text not counting as further evidence for the pair.
     """
-    both = met.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.first("n_entity").alias("n_entity"))
-    df_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    known = both.join(df_term, "term")
-    told = F.log(F.col("n_both") / F.col("n_term")) - F.log(F.col("n_entity") / n_docs)
+    both = met.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("n_texts"), F.first("n_entity").alias("n_entity"))
+    known = both.join(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "term")
+    n = F.col("n_texts") + F.col("n_term") - F.col("n_both")
+    p = F.col("n_texts") / n
+    low = (p + doubt**2 / (2 * n) - doubt * F.sqrt(p * (1 - p) / n + doubt**2 / (4 * n * n))) / (1 + doubt**2 / n)
     content = -F.log(F.col("n_entity") / n_docs)
-    return known.where((content > 0) & (told >= share * content)).select("entity", "term")
-
-
-def text_key(text: Column) -> Column:
-    """A digest of a text; what is found in a text is found in its copies."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    told = lambda q: F.log(q) + content >= share * content
+    return known.where((content > 0) & told(F.col("n_both") / F.col("n_term"))).select("entity", "term", ((F.col("n_both") < F.col("n_term")) & F.coalesce(told(F.nullif(low, F.lit(0.0))), F.lit(False))).alias("sure"))
 
 
-def found_spans(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """``_row, _base, _spans`` of each distinct text with base matches; ``_row`` is its ``text_key``.
+def found_spans(docs: DataFrame, share: float = SHARE, doubt: float = DOUBT) -> DataFrame:
+    """``key, base, spans`` of each distinct text that has any; ``key`` is its ``text_key``.
 
     Spans are (start, end, kind), kind "term" for disclosing terms. Protected entities are the
     distinct base matches. A term is marked wherever it stands in a document of an entity that it
-    discloses, single letters never; what it discloses is learned from all documents. Of the
-    texts, only those with base matches are shuffled, and counts of words.
+    discloses, and where it surely does (``disclosing_terms``) in any other document; single
+    letters never. What a term discloses is learned from all documents. Of the texts, only those
+    with spans are shuffled, and counts of words.
     """
-    found = base_spans(docs.select("text")).where(F.size("_base") > 0).select(text_key(F.col("text")).alias("_row"), "text", F.col("_base").alias("m"))
-    found = written(found.groupBy("_row").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("m").alias("m")), "mentions")
-    one = found.select("_row", "copies", F.inline("m"))
-    groups = written(_groups(one.select("_row", "copies", F.xxhash64("order", F.lower("found")).alias("entity"))), "entities")
-    own = found.select("_row", "copies", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).where(F.length("term") > 1)
-    met = own.join(groups, "_row")
+    found = base_spans(docs.select("text")).where(F.size("_base") > 0).select(text_key(F.col("text")).alias("key"), "text", F.col("_base").alias("m"))
+    found = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("m").alias("m")), "mentions")
+    one = found.select("key", "copies", F.inline("m"))
+    groups = written(_groups(one.select("key", "copies", F.unhex(F.md5(F.concat_ws(":", "order", F.lower("found")))).alias("entity"))), "entities")
+    own = found.select("key", "copies", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")).where(F.length("term") > 1)
+    met = own.join(groups, "key")
     words = docs.select(F.explode(F.array_distinct(words_of(F.coalesce("text", F.lit(""))))).alias("term"))
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    told = written(disclosing_terms(met, words, n_docs, share), "disclosing")
-    hit = met.join(told, ["entity", "term"]).select("_row", "term").distinct()
-    placed = found.select("_row", F.explode(_placed(F.col("text"))).alias("t")).select("_row", "t.*")
-    marked = placed.join(hit, ["_row", "term"]).select("_row", "start", "end")
-    extra = marked.groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "end")).alias("_extra"))
+    told = written(disclosing_terms(met, words, docs.agg(F.count(F.lit(1))).scalar(), share, doubt), "disclosing")
+    hit = met.join(told, ["entity", "term"]).select("key", "term")
+    sure = told.where("sure").select("term").distinct()
+    if sure.isEmpty():
+        hit, texts = hit.distinct(), found.select("key", "text")
+    else:
+        each = docs.where("text is not null").select(text_key(F.col("text")).alias("key"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
+        some = marked(each.withColumn("h", F.xxhash64("term")), sure.select(F.xxhash64("term").alias("h"))).where("_maybe")
+        others = written(some.join(sure, "term").select("key", "term").distinct(), "others")
+        fresh = others.select("key").distinct().join(found.select("key"), "key", "left_anti")
+        held = marked(docs.select(text_key(F.col("text")).alias("key"), "text").withColumn("h", _short(F.col("key"))), fresh.select(_short(F.col("key")).alias("h"))).where("_maybe")
+        held = held.join(fresh, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        hit, texts = hit.unionByName(others).distinct(), written(found.select("key", "text").unionByName(held.select("key", "text")), "texts")
+    placed = texts.select("key", F.explode(_placed(F.col("text"))).alias("t")).select("key", "t.*")
+    at = placed.join(hit, ["key", "term"]).select("key", "start", "end")
+    extra = at.groupBy("key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "end")).alias("extra"))
     bare = F.transform("m", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint>>")
-    outside = F.filter(F.coalesce("_extra", none), lambda t: ~F.exists("m", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    out = found.join(extra, "_row", "left")
-    return out.select("_row", _named(bare).alias("_base"), _named(F.array_sort(F.concat(bare, outside))).alias("_spans"))
+    out = found.select("key", bare.alias("base")).join(extra, "key", "full").select("key", F.coalesce("base", none).alias("base"), F.coalesce("extra", none).alias("extra"))
+    outside = F.filter("extra", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return out.select("key", _named(F.col("base")).alias("base"), _named(F.array_sort(F.concat("base", outside))).alias("spans"))
 
 
-def protected_spans(docs: DataFrame, share: float = SHARE) -> DataFrame:
+def protected_spans(docs: DataFrame, share: float = SHARE, doubt: float = DOUBT) -> DataFrame:
     """``docs`` with ``_base`` and ``_spans`` of ``found_spans``; [] for texts without any, null ones too.
 
-    Every row stays, repeated ones too; other columns pass through. Only texts that may have
-    spans, by a filter of fixed size, are shuffled.
+    Every row stays, repeated ones too; other columns pass through, whatever their names, but
+    columns named _base and _spans are replaced. An empty table gives no rows; texts of any
+    length are taken whole. Only texts that may have spans, by a filter that is broadcast, are
+    shuffled.
     """
-    spans = written(found_spans(docs, share), "spans")
+    spans = written(found_spans(docs, share, doubt), "spans")
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-    short = F.conv(F.substring(F.hex("_row"), 1, 15), 16, 10).cast("bigint")
-    keyed = docs.withColumn("_row", text_key(F.col("text"))).withColumn("_h", short)
-    keyed = marked(keyed, spans.select(short.alias("_h")), "_h")
-    rest = keyed.where("not _maybe").select(*docs.columns, none.alias("_base"), none.alias("_spans"))
-    some = keyed.where("_maybe").join(spans, "_row", "left")
-    return rest.unionByName(some.select(*docs.columns, F.coalesce("_base", none).alias("_base"), F.coalesce("_spans", none).alias("_spans")))
+    keyed = docs.select(F.struct("*").alias("doc"), text_key(F.col("text")).alias("key")).withColumn("h", _short(F.col("key")))
+    keyed = marked(keyed, spans.select(_short(F.col("key")).alias("h")))
+    rest = keyed.where("not _maybe").select("doc", none.alias("base"), none.alias("spans"))
+    some = keyed.where("_maybe").join(spans, "key", "left").select("doc", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+    columns = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ("_base", "_spans")]
+    return rest.unionByName(some).withColumnsRenamed({"base": "_base", "spans": "_spans"}).select(*columns, "_base", "_spans")
 
 
-def sanitised(docs: DataFrame, share: float = SHARE) -> DataFrame:
+def sanitised(docs: DataFrame, share: float = SHARE, doubt: float = DOUBT) -> DataFrame:
     """``docs`` with every span of ``text`` generalised to its kind, such as ``[EMAIL]``.
 
-    Overlapping spans become one, named by the first. Null text stays null.
+    Overlapping spans become one, named by the first. Null text stays null. Columns and rows as
+    in ``docs``, clashing names included.
     """
-    out = protected_spans(docs, share)
+    out = protected_spans(docs.select("text", F.struct("*").alias("doc")), share, doubt)
     # Merged spans as pieces: text between them and the placeholder.
     step = lambda acc, s: F.struct(
         F.when(s["start"] < acc["upto"], acc["out"])
@@ -206,5 +232,5 @@ def sanitised(docs: DataFrame, share: float = SHARE) -> DataFrame:
     )
     pieces = F.aggregate("_spans", F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("upto")), step)
     rest = lambda p: F.array_join(F.concat(p["out"], F.array(F.substring(F.col("text"), (p["upto"] + 1).cast("int"), F.length("text")))), "")
-    text = F.when(F.size("_spans") > 0, rest(pieces)).otherwise(F.col("text"))
-    return out.withColumn("_new", text).select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    clean = F.when(F.size("_spans") > 0, rest(pieces)).otherwise(F.col("text"))
+    return out.select("doc", clean.alias("clean")).select(*[F.col("clean").alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trailweave.cluster import dropped, released, shipped, written
 from trailweave.llm.texts import utf8
-from trailweave.operators.prefilter import marked
+from trailweave.llm.prefilter import marked
 
 WINDOW = 35
 
