@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,21 +33,60 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Written tables of the operators that are being computed, innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends here."""
+    """``df`` written as Parquet to the shared folder and read again: lineage ends here.
+
+    It goes at the end of the innermost ``scratch``, else with the application.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trailweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/trailweave/{spark.sparkContext.applicationId}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not getattr(spark.sparkContext, "_trailweave_leaves", False):
+        files, folder = _path(spark, top)
+        files.deleteOnExit(folder)
+        spark.sparkContext._trailweave_leaves = True
     again = spark.read.schema(df.schema).parquet(path)
     again._trailweave_path = path
+    if _OPEN:
+        _OPEN[-1].append(again)
     return again
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes what ``written`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._trailweave_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = _path(df.sparkSession, df._trailweave_path)
+    files.delete(path, True)
+
+
+@contextmanager
+def scratch():
+    """Tables written inside are deleted at the end, but for those given to ``keep``.
+
+        with scratch() as keep:
+            found = keep(written(..., "found"))
+    """
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _OPEN.append(own)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _OPEN.pop()
+        for df in own:
+            if not any(df is k for k in kept):
+                dropped(df)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
 
 
 def released(spark: SparkSession) -> None:

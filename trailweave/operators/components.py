@@ -25,9 +25,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``node, component`` (bigint) of every node that has an edge; component is its smallest node.
+    """``node, component`` of every node that has an edge; component is its smallest node.
 
-    ``edges`` has two bigint columns in any order and direction; loops, repeats and rows with a
+    ``edges`` has two columns of one ordered type in any order and direction; loops, repeats and rows with a
     null end are ignored, an empty table gives an empty one. Each round writes its edges to the
     shared folder, so that lineage stays short; only a count and a sum reach the driver. Every
     step is a minimum per node joined back to the edges, so no node's neighbours are gathered
