@@ -16,8 +16,8 @@ from trailweave.cluster import shipped
 
 #: Bytes of a piece that are merged directly: the leaves of the tree.
 LEAF = 24
-#: Pieces a worker remembers before it forgets all.
-REMEMBERED = 300_000
+#: Pieces a worker remembers before it forgets all, and the longest of them in characters.
+REMEMBERED, SHORT = 200_000, 64
 
 
 class Bpe:
@@ -34,9 +34,11 @@ class Bpe:
             """Piece to its ids as little-endian 32-bit integers."""
 
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= outer.remembered:
-                    self.clear()
-                out = self[piece] = np.array(outer.piece(piece.encode()), "<u4").tobytes()
+                out = np.array(outer.piece(piece.encode()), "<u4").tobytes()
+                if len(piece) <= SHORT:
+                    if len(self) >= outer.remembered:
+                        self.clear()
+                    self[piece] = out
                 return out
 
         self.known = Known()
@@ -149,40 +151,43 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encoded(docs: DataFrame, tokenizer: str = "byte_bpe_multi_50k.tiktoken", remembered: int = REMEMBERED) -> DataFrame:
-    """All columns of ``docs`` and ``token_ids`` (array<int>); null text: no ids.
+    """All columns of ``docs`` and ``token_ids`` (array<int>); null text stays null and has no ids.
 
     ``tokenizer`` names a vocabulary file of the installed package, or is a path. Row by row in
-    Arrow batches; a worker loads the file itself. No special tokens.
+    Arrow batches; a worker loads the file itself. No special tokens. Whole texts of any length;
+    repeated rows stay repeated; an empty table gives no rows; a column token_ids is replaced.
     """
     return _mapped(docs, tokenizer, remembered, digests=False)
 
 
 def digests(docs: DataFrame, tokenizer: str = "byte_bpe_multi_50k.tiktoken", remembered: int = REMEMBERED) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes, decodes the ids, digests both."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes, decodes the ids, digests both.
+
+    One row for each row of ``docs``; null text is ''; other columns are left out.
+    """
     return _mapped(docs, tokenizer, remembered, digests=True)
 
 
 def _mapped(docs: DataFrame, tokenizer: str, remembered: int, digests: bool) -> DataFrame:
     shipped(docs.sparkSession)
-    keep = [] if digests else [c for c in docs.columns if c not in ("text", "token_ids")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")) if digests else docs.select("*", F.coalesce("text", F.lit("")).alias("_text"))
+    keep = ["doc_id"] if digests else [c for c in docs.columns if c not in ("text", "token_ids")]
+    rows = docs.select(F.col("doc_id").cast("long"), "text") if digests else docs.select(*keep, "text")
 
     def run(batches):
         import public_tokenizers
 
         bpe = Bpe(load_ranks(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)), public_tokenizers.PATTERN, remembered)
         for batch in batches:
-            out = [bpe.encode(x) for x in batch.column("_text").to_pylist()]
+            out = [bpe.encode(x or "") for x in batch.column(len(keep)).to_pylist()]
             if digests:
                 decoded = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in out]
                 ids = [hashlib.sha256(x).hexdigest() for x in out]
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column("text"), ids], names=[*keep, "text", "token_ids"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*keep, "text", "token_ids"])
 
     if digests:
         return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    schema = docs.select(*keep, "text").withColumn("token_ids", F.array(F.lit(0)).cast("array<int>")).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.withColumn("token_ids", F.array(F.lit(0)).cast("array<int>")).schema)

@@ -85,10 +85,14 @@ class Formatter:
             if not formatted.startswith(t.open, at):
                 raise ValueError(f"no turn at {at}")
             at += len(t.open)
-            head = next(m for m in self._head.finditer(formatted, at) if m[1])
-            name = formatted[at : head.start()]
+            head = next((m for m in self._head.finditer(formatted, at) if m[1]), None)
+            name = formatted[at : head.start()] if head else ""
+            if not head or not (name.startswith("=") or name in self._role):
+                raise ValueError(f"no role at {at}")
             role = self.shown(name[1:]) if name.startswith("=") else self._role[name]
-            end = next(m for m in self._token.finditer(formatted, head.end()) if m[1])
+            end = next((m for m in self._token.finditer(formatted, head.end()) if m[1]), None)
+            if not end:
+                raise ValueError(f"no end of the turn at {at}")
             out.append((role, self.shown(formatted[head.end() : end.start()])))
             at = end.end()
         return out

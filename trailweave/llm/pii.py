@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.cluster import written
+from trailweave.cluster import scratch, written
 from trailweave.llm.prefilter import marked
+from trailweave.llm.texts import short, text_key
 
 #: Kinds in order, each with the pattern of its matches. Runs are possessive and may only start
 #: where the run does (an email also where the last match ended), which leaves the matches of the
@@ -118,16 +119,6 @@ def _placed(text: Column) -> Column:
     return F.zip_with(found, ends, lambda f, e: F.struct(F.lower(f).alias("term"), (e - F.length(f)).alias("start"), e.alias("end")))
 
 
-def text_key(text: Column) -> Column:
-    """A digest of a text; what is found in a text is found in its copies."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-
-
-def _short(key: Column) -> Column:
-    """A bigint from a digest, for filters."""
-    return F.conv(F.substring(F.hex(key), 1, 15), 16, 10).cast("bigint")
-
-
 def _groups(mentions: DataFrame) -> DataFrame:
     """``key, entity, n_entity`` of ``mentions`` (key, copies, entity).
 
@@ -185,10 +176,11 @@ def found_spans(docs: DataFrame, share: float = SHARE, doubt: float = DOUBT) ->
         some = marked(each.withColumn("h", F.xxhash64("term")), sure.select(F.xxhash64("term").alias("h"))).where("_maybe")
         others = written(some.join(sure, "term").select("key", "term").distinct(), "others")
         fresh = others.select("key").distinct().join(found.select("key"), "key", "left_anti")
-        held = marked(docs.select(text_key(F.col("text")).alias("key"), "text").withColumn("h", _short(F.col("key"))), fresh.select(_short(F.col("key")).alias("h"))).where("_maybe")
+        held = marked(docs.select(text_key(F.col("text")).alias("key"), "text").withColumn("h", short(F.col("key"))), fresh.select(short(F.col("key")).alias("h"))).where("_maybe")
         held = held.join(fresh, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
         hit, texts = hit.unionByName(others).distinct(), written(found.select("key", "text").unionByName(held.select("key", "text")), "texts")
-    placed = texts.select("key", F.explode(_placed(F.col("text"))).alias("t")).select("key", "t.*")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = texts.repartition(width, "key").select("key", F.explode(_placed(F.col("text"))).alias("t")).select("key", "t.*")
     at = placed.join(hit, ["key", "term"]).select("key", "start", "end")
     extra = at.groupBy("key").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "end")).alias("extra"))
     bare = F.transform("m", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end")))
@@ -206,10 +198,11 @@ def protected_spans(docs: DataFrame, share: float = SHARE, doubt: float = DOUBT)
     length are taken whole. Only texts that may have spans, by a filter that is broadcast, are
     shuffled.
     """
-    spans = written(found_spans(docs, share, doubt), "spans")
+    with scratch() as keep:
+        spans = keep(written(found_spans(docs, share, doubt), "spans"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-    keyed = docs.select(F.struct("*").alias("doc"), text_key(F.col("text")).alias("key")).withColumn("h", _short(F.col("key")))
-    keyed = marked(keyed, spans.select(_short(F.col("key")).alias("h")))
+    keyed = docs.select(F.struct("*").alias("doc"), text_key(F.col("text")).alias("key")).withColumn("h", short(F.col("key")))
+    keyed = marked(keyed, spans.select(short(F.col("key")).alias("h")))
     rest = keyed.where("not _maybe").select("doc", none.alias("base"), none.alias("spans"))
     some = keyed.where("_maybe").join(spans, "key", "left").select("doc", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
     columns = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ("_base", "_spans")]

@@ -78,8 +78,8 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, pairs: int = 20_000, se
 
     P(good over bad) = sigmoid(w . (f(good) - f(bad))); the loss is its negative logarithm with
     a small square penalty, lowered by full-gradient steps with momentum over seeded pairs. The
-    cut is the utility quantile of the labelled documents that errs least on them (both labels
-    weighted alike breaks ties towards keeping). Without a pair nothing can be learned: every
+    cut is the utility quantile of the labelled documents that errs least on them; of several
+    such the mean, where it errs as little, else the lowest. Without a pair nothing can be learned: every
     score is 0.5 if all labels are bad, else 0.9, so that nothing is rejected without a reason.
     """
     good, bad = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
@@ -112,7 +112,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold
 
     A documented bound for the fit only. Rows are taken in the order of a hash of doc_id, so the
     choice is the same for any partitioning. Labels that are null, or that differ for one
-    document, are left out; so are documents without an id.
+    document, are left out; so are documents without an id. Of rows that share a doc_id, the
+    least text counts, so the bound holds whatever ``docs`` repeats.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"), F.max("quality").alias("most"))
     known = known.where((F.col("y") == F.col("most")) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != fold))
@@ -120,7 +121,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold
     for y in (0, 1):
         part = known.where(F.col("y") == y).select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> Model:
@@ -159,7 +161,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = LEAST, fold: int = 2, folds: int = 4) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row; a null doc_id is held out."""
+    """``doc_id, held_out, score, predicted`` of every row; a null doc_id is held out.
+
+    Whole texts are scored, of any length; null ones as ''. Repeated rows stay repeated and score
+    alike; other columns are left out; without documents or labels see ``fit``.
+    """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(True))
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learned(docs, labels, sample, least))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

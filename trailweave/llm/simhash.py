@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.cluster import shipped, written
-from trailweave.llm.texts import utf8
+from trailweave.cluster import scratch, shipped, written
+from trailweave.llm.texts import one_of_each, text_key, utf8
 from trailweave.operators.components import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -34,15 +34,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, step: int
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (bigint, the same 64 bits) of every row; null text has no words, so fp 0."""
+    """``doc_id, h, fp`` of every row: id, digest of the text, and the SimHash as a bigint of the same bits.
+
+    Null text has no words, so fp 0.
+    """
     shipped(docs.sparkSession)
 
     def hashed(batches):
         for batch in batches:
             found = np.fromiter((fingerprint(x, shingle, seed) for x in utf8(batch)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("h"), "text").mapInArrow(hashed, "doc_id bigint, h binary, fp bigint")
 
 
 def _ball(segment: Column, bits: int) -> Column:
@@ -56,9 +59,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Two segments of 32 bits: if a pair differs in at most 3 bits, one segment differs in at most
     one. Each fingerprint asks for the 33 values of that ball in each segment; tables hold each
     fingerprint's own two. Whole distances are verified inside the join, so only links leave it.
+    Fingerprints are dealt to all tasks before they are expanded.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with balls of one bit find up to 3 differing bits")
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned("fp", 32)
     own = F.array(F.struct(F.lit(0).alias("seg"), low.alias("key")), F.struct(F.lit(1).alias("seg"), high.alias("key")))
     near = F.array_union(
@@ -71,19 +76,26 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return asked.join(table, (asked.seg == table.seg) & (asked.key == table.key) & (F.col("a") < F.col("b")) & (apart <= max_bits)).select("a", "b").distinct()
 
 
+def _grouped(docs: DataFrame, max_bits: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(known: doc_id, h, fp of every row; of: fp, least, component of every fingerprint)."""
+    with scratch() as keep:
+        known = keep(written(fingerprints(docs, shingle, seed), "fingerprints"))
+        nodes = written(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
+        found = connected_components(links(nodes.select("fp"), max_bits))
+        of = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+        of = keep(written(of, "members"))
+    return known, of
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id, fingerprint, component_id, kept`` of every row.
 
     Component: all documents reachable by links; its id is the smallest doc_id in it. Equal
     fingerprints are one node, so exact copies cost one row each and no pairs. kept: doc_id is
     the component's id. A null doc_id never names a component that has another; repeated rows
-    stay repeated. Empty table: no rows.
+    stay repeated; texts are hashed whole; other columns are left out. Empty table: no rows.
     """
-    known = written(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = written(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    found = connected_components(links(nodes.select("fp"), max_bits))
-    of = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    of = written(of, "members")
+    known, of = _grouped(docs, max_bits, shingle, seed)
     named = of.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = of.join(named, "component").select("fp", "component_id")
     return known.join(by_fp, "fp").select(
@@ -91,8 +103,10 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     )
 
 
-def deduplicated(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each group, that of its smallest doc_id; rows with a null doc_id all stay."""
-    kept = near_duplicates(docs.where("doc_id is not null"), max_bits).where("kept").select("doc_id").distinct()
-    own = docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    return own.select(docs.columns).unionByName(docs.where("doc_id is null"))
+def deduplicated(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of each group, as ``texts.one_of_each``: that of its smallest doc_id and text digest.
+
+    Different texts under one doc_id are different documents.
+    """
+    known, of = _grouped(docs.where("doc_id is not null"), max_bits, shingle, seed)
+    return one_of_each(docs, known.join(of, "fp").select("doc_id", "h", "component"))
