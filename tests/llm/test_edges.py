@@ -8,6 +8,7 @@ import pytest
 from brute import base_spans, contamination, embeddings, sha, simhash, substring
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from trailweave.llm import bpe, chat, decontam, embedding_dedup, html_extract, pii, quality, simhash as sh, substring_dedup, urlfilter
 
@@ -270,3 +271,63 @@ def test_tokenizer_ranks_are_read_as_given(tmp_path):
     path = tmp_path / "r"
     path.write_bytes(base64.b64encode(b"a") + b" 0\n" + base64.b64encode(b"ab") + b" 1\n")
     assert bpe.load_ranks(str(path)) == {b"a": 0, b"ab": 1}
+
+
+def test_many_rules_long_urls_repeats_and_names(spark):
+    rules = [("block", f"s{k}.example/") for k in range(2000)] + [("allow", "s7.example/ok"), ("block", "x.y.s8.example/")]
+    urls = ["http://s7.example/", "http://a.s7.example/ok/1", "http://s1999.example:80/", "http://x.y.s8.example/z", "http://" + "a." * 20_000 + "s3.example/" + "p" * 50_000, "http://example/", "http://s1999.example/"]
+    pages = spark.createDataFrame([(k, u, 1, "r", "f") for k, u in enumerate([*urls, urls[0]])], "page_id bigint, url string, site int, rules string, fit string")
+    none = spark.createDataFrame([], "host string, bad boolean")
+    got = sorted((r.page_id, r.rule, r.verdict) for r in urlfilter.judge_urls(pages, none, rules, keep=("page_id", "site", "rules")).collect())
+    assert [(r, v) for _, r, v in got] == [("s7.example/", "block"), ("s7.example/ok", "allow"), (None, "allow"), ("x.y.s8.example/", "block"), ("s3.example/", "block"), (None, "allow"), ("s1999.example/", "block"), ("s7.example/", "block")]
+    with pytest.raises(ValueError, match="host"):
+        urlfilter.judge_urls(pages, none, keep=("host",))
+    one = lambda c: spark.createDataFrame([(h,) for h in ("a.b.co.uk", "b.co.uk", "co.uk", "x.org", "localhost", "me@a.b.com:8080", "a.1.de")], "host string").select(c).collect()
+    domain = urlfilter.domain_of(urlfilter.site_of(F.col("host")))
+    assert [r[0] for r in one(domain)] == ["b.co.uk", "b.co.uk", "co.uk", "x.org", "localhost", "b.com", "1.de"]
+    assert [r[0] for r in one(urlfilter.suffix_of(domain))] == ["co.uk", "co.uk", "uk", "org", "localhost", "com", "de"]
+
+
+def test_chat_refuses_what_it_did_not_write():
+    form = chat.Formatter()
+    for text in ("### User", "### User: hi", "### Nobody: x</turn>\n", "x", "### User: a</turn>\n### "):
+        with pytest.raises(ValueError):
+            form.read(text)
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k} \\### ") for k in range(20_000)]
+    (out,) = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()
+    assert out.n_turns == 20_000 and out.valid and out.turns_sha256 == sha("".join(f"{r}\n{t}\n" for _, _, r, t in rows))
+
+
+def test_names_that_operators_use(spark):
+    extra = ["id", "doc", "_row", "_text", "spans", "items", "h", "key", "component", "_h", "_word", "_bits", "_maybe", "base", "y", "x"]
+    table = spark.createDataFrame([(1, PASSAGE, *range(len(extra))), (2, f"b {PASSAGE}", *range(len(extra))), (3, None, *range(len(extra)))], f"doc_id bigint, text string, {', '.join(f'{n} int' for n in extra)}")
+    items = spark.createDataFrame([(1, PASSAGE), (2, "other words")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    from trailweave.llm import near_copies
+
+    outs = [decontam.decontaminated(table, items, mode=m, block_bytes=b) for m in ("drop", "cut") for b in (10, 10**6)]
+    outs += [bpe.encoded(table), sh.deduplicated(table), near_copies.deduplicated(table), quality.scored(table, quality.learned(table, labels))]
+    for out in outs:
+        rows = out.collect()
+        assert out.columns[: 2 + len(extra)] == table.columns or set(table.columns) <= set(out.columns)
+        assert rows and all([r[n] for n in extra] == list(range(len(extra))) for r in rows)
+    digests = [decontam.contamination(table, items), sh.near_duplicates(table), bpe.digests(table), quality.judged(table, labels), substring_dedup.without_repeats(table), near_copies.near_copies(table)]
+    assert all(d.count() == 3 for d in digests)
+
+
+def test_one_id_for_different_texts(spark):
+    from trailweave.llm import near_copies
+
+    rows = [(1, "a b c d e"), (1, "totally other words stand here"), (1, "a b c d e"), (2, "a b c d e")]
+    for module in (sh, near_copies):
+        assert sorted(r.text for r in module.deduplicated(frame(spark, rows)).collect()) == ["a b c d e", "totally other words stand here"]
+
+
+def test_training_rows_are_bounded_whatever_repeats(spark):
+    docs = frame(spark, [(k % 5, f"text {k}") for k in range(200)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id bigint, quality int")
+    rows = quality.training_rows(docs, labels).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) <= 5 and all(r.text == min(f"text {k}" for k in range(r.doc_id, 200, 5)) for r in rows)

@@ -13,47 +13,57 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text of documents, and the terms that disclose it."""
     out = pii.protected_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *map(n, pii.KINDS), F.sha2(pii.joined(F.col("_base")), 256).alias("base_sha256"), pii.joined(F.col("_spans")).alias("spans"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document stand in passages of benchmark items."""
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings within their labels."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages."""
     return substring_dedup.without_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and their decoding, as digests."""
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held-out fold."""
     return quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by rules and by the reputation of its host."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge_urls(pages, urlfilter.labelled_outcomes(pages, _table(spark, sf_dir, "labels")))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, with one whose texts hold control strings."""
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -86,11 +96,12 @@ WITH parts AS (
   SELECT doc_id, max(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad
   FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id
 ), outcomes AS (
-  SELECT host, bad FROM (SELECT host, TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1) AS BIGINT) AS doc_id FROM urls) JOIN known USING (doc_id) WHERE host <> ''
+  SELECT regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site, bad FROM (SELECT host, TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:\.html)?/?$', 1) AS BIGINT) AS doc_id FROM urls) JOIN known USING (doc_id)
 ), hosts AS (
-  SELECT host, count(*)::DOUBLE AS n, sum(bad::INT)::DOUBLE AS bad,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM outcomes GROUP BY host
+  SELECT *, regexp_replace(domain, '^[^.]*\.', '') AS suffix FROM (
+    SELECT site, count(*)::DOUBLE AS n, sum(bad::INT)::DOUBLE AS bad,
+           array_to_string(string_split(site, '.')[CASE WHEN regexp_matches(site, '(^|\.)(ac|co|com|edu|gov|net|or|org)\.[^.][^.]$') THEN -3 ELSE -2 END:], '.') AS domain
+    FROM outcomes WHERE site <> '' GROUP BY site)
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
 ), sums AS (
@@ -108,13 +119,13 @@ WITH parts AS (
   SELECT d.domain, p.strength, (d.bad + s.strength * s.m) / (d.n + s.strength) AS m
   FROM domains d JOIN m_suffix s USING (suffix) JOIN priors p ON p.level = 1 AND p.key = d.domain
 ), posterior AS (
-  SELECT host, bad + strength * m AS a, n - bad + strength * (1 - m) AS b FROM hosts JOIN m_domain USING (domain)
+  SELECT site, bad + strength * m AS a, n - bad + strength * (1 - m) AS b FROM hosts JOIN m_domain USING (domain)
 ), reputation AS (
-  SELECT host, a / (a + b) AS rate, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS low FROM posterior
+  SELECT site, a / (a + b) AS rate, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS low FROM posterior
 )
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN low > 0.5 THEN 'block' END, 'allow') AS verdict,
        round(rate, 9) AS bad_rate, round(low, 9) AS bad_rate_low
-FROM urls LEFT JOIN fit USING (page_id) LEFT JOIN reputation USING (host)
+FROM urls LEFT JOIN fit USING (page_id) LEFT JOIN reputation ON site = regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')
 """
 
 _OP10 = r"""
