@@ -61,7 +61,7 @@ def test_settles_once(spark):
 def test_chain_is_a_prefix_filter_and_target_stops(spark):
     e = edges_of(spark, [("a", "x", "b", 1), ("a", "y", "c", 1), ("b", "z", "d", 1), ("d", "x", "a", 1), ("d", "w", "e", 1)])
     q = spark.createDataFrame([(0, "a", ["x"], None, None), (1, "a", ["x", "q"], None, None), (2, "a", None, "d", None), (3, "a", None, "a", None), (4, "none", None, None, 0)], "qid int, anchor string, chain array<string>, target string, max_hops int")
-    for plan in ("level", "heap"):
+    for plan in ("level", "rounds", "heap"):
         got = sorted((r.qid, r.object_id, r.hops) for r in geodesic_paths(q, e, plan=plan).collect())
         assert got == [(0, "b", 1), (0, "d", 2), (0, "e", 3), (1, "b", 1), (2, "d", 2)], plan
 
@@ -106,6 +106,21 @@ def test_plans_agree_with_a_plain_search(spark):
             assert got.get(i, {}) == heap_answer(own, f"n{i}", 3)
 
 
+def test_rounds_are_the_search(spark):
+    """Costs, hops and paths of graphs where longer ways are cheaper, against the heap; chains and targets too."""
+    r = random.Random(8)
+    for trial in range(3):
+        rows = sorted({(f"n{r.randrange(25)}", r.choice("xy"), f"n{r.randrange(25)}") for _ in range(110)})
+        e = edges_of(spark, [(s, k, d, r.choice([1.0, 1.0, 2.0, 7.5])) for s, k, d in rows])
+        q = spark.createDataFrame([(i, f"n{i}", [None, ["x"], ["y", "x"]][i % 3], f"n{i + 3}" if i % 4 == 0 else None, 2 + i % 3) for i in range(12)], "qid int, anchor string, chain array<string>, target string, max_hops int")
+        same = lambda plan: sorted(geodesic_paths(q, e, plan=plan).collect(), key=repr)
+        assert same("rounds") == same("heap"), trial
+    with pytest.raises(ValueError):
+        geodesic_paths(q, edges_of(spark, [("a", "x", "b", 0.0)]), plan="rounds")
+    zero = edges_of(spark, [("a", "x", "b", 0.0), ("b", "x", "c", 1.0)])
+    assert {x.object_id: x.geodesic for x in geodesic_paths(asked(spark, ("a", None, None, 3)), zero).collect()} == {"b": 0.0, "c": 1.0}
+
+
 def test_query_text_and_modes(spark):
     objects, edges = D.demo(spark, "umbrella")
     q = spark.createDataFrame([(0, "what prevents rain?"), (1, "is umbrella connected to wet_coat?"), (2, "nothing known"), (3, None)], "qid int, text string")

@@ -39,8 +39,12 @@ def test_nearest_neighbours(spark):
     entries = spark.createDataFrame(rows, "id string, vector array<double>")
     asked = entries.where("endswith(id, '_0')").withColumnRenamed("id", "qid")
     exact = topology.exact_top(asked, entries, 5)
-    near = topology.near_top(asked, topology.index(entries, 32, 12), 32, 5, 2, 12)
-    assert topology.recall(exact, near).first().recall >= 0.8
+    near = topology.near_top(asked, topology.index(entries, 32, 12, tables=4), 32, 5, 2, 12, tables=4)
+    assert topology.recall(exact, near).first().recall >= 0.9
+    one = topology.near_top(asked, topology.index(entries, 32, 12), 32, 5, 2, 12)
+    assert topology.recall(exact, one).first().recall >= 0.8
+    assert [tuple(r) for r in topology.exact_top(asked, entries, 5, block=3).orderBy("qid", "rank").collect()] == [tuple(r) for r in exact.orderBy("qid", "rank").collect()]
+    assert topology.exact_top(asked.where("false"), entries).count() == 0 and topology.sketch_top(asked.where("false"), entries).count() == 0
     assert near.where("rank = 1 and qid = id and similarity > 0.99").count() == 8
     v = {i: np.array(x) / np.linalg.norm(x) for i, x in rows}
     for q in asked.collect():
@@ -59,6 +63,35 @@ def test_shapes():
     assert len(s) == 64 and s[:32].sum() == 3 and s[31] == 1 and s[32:].sum() == 0 and not topology.signature(np.zeros((1, 1))).any()
 
 
+def all_loops(d):
+    """H1 bars by reducing every triangle of the full complex."""
+    from itertools import combinations
+
+    n = len(d)
+    edges = sorted(combinations(range(n), 2), key=lambda e: (d[e], e))
+    place = {e: k for k, e in enumerate(edges)}
+    reduced, out = {}, []
+    for last, sides in sorted((max(place[a, b], place[a, c], place[b, c]), (place[a, b], place[a, c], place[b, c])) for a, b, c in combinations(range(n), 3)):
+        column = set(sides)
+        while column and max(column) in reduced:
+            column ^= reduced[max(column)]
+        if column:
+            reduced[max(column)] = column
+            bar = (float(d[edges[max(column)]]), float(d[edges[last]]))
+            out += [bar] if bar[1] > bar[0] else []
+    return sorted(out)
+
+
+def test_loops_are_those_of_the_full_complex():
+    r = random.Random(6)
+    for _ in range(60):
+        n = r.randrange(3, 13)
+        d = topology.distances(n, [(r.randrange(n), r.randrange(n), float(r.choice([1, 1, 2, 3.5]))) for _ in range(r.randrange(n, 3 * n))])
+        assert sorted(topology.loops(d)) == all_loops(d)
+    wheel = topology.distances(301, [(k, (k + 1) % 300, 1.0) for k in range(300)] + [(300, k, 10.0) for k in range(300)])
+    assert topology.loops(wheel) == [(1.0, 10.0)]
+
+
 def test_signatures_of_a_graph(spark):
     objects, edges = D.demo(spark, "umbrella")
     got = {r.id: r for r in topology.signatures(objects, edges).collect()}

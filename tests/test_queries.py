@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as entry
 from trailweave import queries
 
-SLOW = {"worlds_study"}
+#: A minute or more on a few rows; the driver runs them.
+SLOW = {"worlds_study", "topo_signature"}
 
 
 def plain(rows):

@@ -52,3 +52,16 @@ def test_exports(spark):
     found = json.loads(results_json(query(q, objects, edges, "graph")).first().json)
     assert [x["rank"] for x in found] == list(range(1, len(found) + 1)) and found[0]["object_id"] == "rain" and found[0]["components"]["geodesic"] == 1.0
     assert objects.where(F.col("id") == "rain").count() == 1
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([(2, 0.25), (1, 0.5)], "hops int, accuracy double")
+    assert evaluate.report("projection", rows) == "## Accuracy over hops\n\n| hops | accuracy |\n|---|---|\n| 1 | 0.500 |\n| 2 | 0.250 |"
+    assert json.loads(evaluate.report("projection", rows, "json")) == {"report": "projection", "rows": [{"hops": 1, "accuracy": 0.5}, {"hops": 2, "accuracy": 0.25}]}
+    many = spark.range(2500).withColumn("x", F.lit(None).cast("double"))
+    assert evaluate.markdown(many, ["id", "x"]).count("n/a") == 2500
+
+
+def test_scale_run(spark):
+    (row,) = evaluate.run_scale(spark, (200,), 50).collect()
+    assert row.objects == 200 and row.anchors == 50 and row.anchors_per_second > 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from contextlib import contextmanager
@@ -33,8 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-#: Written tables of the operators that are being computed, innermost last.
-_OPEN: list[list[DataFrame]] = []
+#: For each thread the written tables of the operators that it computes, innermost last.
+_SCOPES = threading.local()
+
+
+def _scopes() -> list[list[DataFrame]]:
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    return _SCOPES.open
 
 
 def _path(spark: SparkSession, name: str):
@@ -57,8 +64,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.sparkContext._trailweave_leaves = True
     again = spark.read.schema(df.schema).parquet(path)
     again._trailweave_path = path
-    if _OPEN:
-        _OPEN[-1].append(again)
+    if _scopes():
+        _scopes()[-1].append(again)
     return again
 
 
@@ -77,16 +84,28 @@ def scratch():
     """
     own: list[DataFrame] = []
     kept: list[DataFrame] = []
-    _OPEN.append(own)
+    scopes = _scopes()
+    scopes.append(own)
     try:
         yield lambda df: kept.append(df) or df
     finally:
-        _OPEN.pop()
+        scopes.pop()
         for df in own:
             if not any(df is k for k in kept):
                 dropped(df)
-        if _OPEN:
-            _OPEN[-1].extend(kept)
+        if scopes:
+            scopes[-1].extend(kept)
+
+
+@contextmanager
+def unscoped():
+    """Tables written inside stay as long as the application."""
+    scopes = _scopes()
+    own, scopes[:] = list(scopes), []
+    try:
+        yield
+    finally:
+        scopes[:] = own
 
 
 def released(spark: SparkSession) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +42,12 @@ def planes(n_planes: int, dim: int, seed: int = 0) -> list[list[float]]:
     return np.random.default_rng(seed).standard_normal((n_planes, dim)).tolist()
 
 
+def sign_planes(n_planes: int, dim: int, seed: int = 0) -> list[list[int]]:
+    """Planes with normals of 1 and -1, by the first hex digit of an MD5 of seed, plane and place: the same in any language."""
+    sign = lambda p, k: 1 if hashlib.md5(f"{seed}:{p}:{k}".encode()).hexdigest()[0] < "8" else -1
+    return [[sign(p, k) for k in range(dim)] for p in range(n_planes)]
+
+
 def sign_code(v: Column, hyperplanes: list[list[float]]) -> Column:
     """Signs of the products as bits, the first plane's highest."""
     each = F.array(*[F.array(*map(F.lit, p)) for p in hyperplanes])

@@ -17,6 +17,10 @@ KEYWORDS = (
 )
 
 
+#: Letters of an id that are joined to a text.
+KEY = 24
+
+
 def _keyword(lowered: Column) -> Column:
     """struct(word, relation, at) of the first keyword in the list that occurs; ``at`` from 1; null: none."""
     out = F.lit(None).cast("struct<word:string,relation:string,at:int>")
@@ -56,15 +60,16 @@ def parse_intents(queries: DataFrame, ids: DataFrame, vocabulary: Vocabulary = V
     the anchor, the second the target. A single id after the keyword is its object, so the
     relation turns into its inverse where it has one.
 
-    An id can stand anywhere in a word, so texts are cut at every place into pieces as long as an
-    id may be, and joined to ids by their first letters; no pair of text and id is formed that
-    does not share them. Ids of under 3 signs are joined by the whole id.
+    An id can stand anywhere in a word, so texts are cut at every place into pieces, one for each
+    length that ids have, and joined to whole ids; of ids longer than ``KEY`` the first so many
+    letters are joined and the rest is held against the text. Lengths come to at most KEY.
     """
     text = queries.where("text is not null").select("qid", F.lower("text").alias("_l"))
     known = ids.where("id is not null and id <> ''").select(F.col("id"), F.lower("id").alias("_i"))
-    size = 3
-    places = text.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_l"))))).withColumn("key", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, range(1, size + 1))), lambda n: F.substring("_l", F.col("at"), n)))))
-    keyed = known.withColumn("key", F.substring("_i", 1, size))
+    keyed = known.withColumn("key", F.substring("_i", 1, KEY))
+    sizes = sorted(r[0] for r in keyed.select(F.length("key")).distinct().collect())  # at most KEY
+    pieces = F.array(*[F.substring("_l", F.col("at"), F.lit(n)) for n in sizes]).cast("array<string>")
+    places = text.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_l"))))).withColumn("key", F.explode(F.array_distinct(pieces))).where("key <> ''")
     hit = F.substring(F.col("_l"), F.col("at"), F.length("_i")) == F.col("_i")
     first = places.join(keyed, "key").where(hit).groupBy("qid", "id").agg(F.min("at").alias("at"))
     order = W.partitionBy("qid").orderBy("at", F.length("id").desc(), "id")

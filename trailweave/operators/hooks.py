@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from trailweave.cluster import shipped
 from trailweave.functions.text import normalised
 from trailweave.functions.vocabulary import Vocabulary
-from trailweave.operators.extraction import registered
+from trailweave.operators.extraction import parse_intents, registered
 from trailweave.operators.retrieval import surface_link
 
 Triples = Callable[[str], Iterable[tuple[str, str, str]]]
+Intent = Callable[[str], tuple[str | None, str | None, str | None] | None]
 Choice = Callable[[str, list[str]], str | None]
 
 
@@ -32,6 +33,33 @@ def extract_with(docs: DataFrame, extract: Triples, vocabulary: Vocabulary = Voc
     return registered(found, vocabulary)
 
 
+def parse_with(queries: DataFrame, ids: DataFrame, parse: Intent, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """``parse_intents`` with ``parse`` asked first, once for each text.
+
+    Its answer (anchor, relation, target) counts if the anchor is a known id and the relation, if
+    there is one, is registered; a target that isn't known is left out. Else the rules stand, as
+    they do where ``parse`` gives None or raises.
+    """
+    shipped(queries.sparkSession)
+
+    @F.pandas_udf("struct<anchor:string,relation:string,target:string>")
+    def asked(text: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in text:
+            try:
+                out.append((parse(t) if t else None) or (None, None, None))
+            except Exception:  # noqa: BLE001  a remote parser may fail in any way
+                out.append((None, None, None))
+        return pd.DataFrame(out, columns=["anchor", "relation", "target"], dtype=object)
+
+    rules = parse_intents(queries, ids, vocabulary)
+    own = queries.select("qid", asked("text").alias("_p")).select("qid", "_p.*").where(F.col("anchor").isNotNull() & (F.col("relation").isNull() | F.col("relation").isin(vocabulary.names())))
+    known = ids.select("id").distinct()
+    own = own.join(known.withColumnRenamed("id", "anchor"), "anchor", "left_semi").join(known.select("id", F.col("id").alias("_t")), F.col("target") == F.col("id"), "left")
+    own = own.select("qid", F.struct("anchor", "relation", F.col("_t").alias("target"), F.when(F.col("relation").isNotNull(), F.array("relation")).alias("chain")).alias("_own"))
+    return rules.join(own, "qid", "left").withColumns({c: F.when(F.col("_own").isNotNull(), F.col(f"_own.{c}")).otherwise(F.col(c)) for c in ("anchor", "relation", "target", "chain")}).drop("_own")
+
+
 def link_with(questions: DataFrame, names: DataFrame, choose: Choice, k: int = 20) -> DataFrame:
     """``qid, name``: the choice among the ``k`` best surface matches.
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from trailweave.operators.ranges import medians, running
+
 
 def retrieval_metrics(results: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """One row for each query: hits_at_1, hits_at_k, precision_at_k, recall_at_k, reciprocal_rank, path_correct.
@@ -46,26 +48,22 @@ def auc(scores: DataFrame, score: str = "score", positive: str = "positive") ->
     From counts of each distinct score and their running sum, ordered by range: no pairs.
     """
     each = scores.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("m"))
-    # Running sums over buckets first, then within each, so no task sees all rows.
-    ranged = each.repartitionByRange("s").withColumn("part", F.spark_partition_id())
-    before = ranged.groupBy("part").agg(F.sum("p").alias("pp")).withColumn("below", F.coalesce(F.sum("pp").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.coalesce(F.sum("p").over(W.partitionBy("part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    full = ranged.withColumn("own", inner).join(F.broadcast(before.select("part", "below")), "part")
-    wins = F.sum(F.col("m") * (F.col("own") + F.col("below") + F.col("p") / 2))
+    full = running(each, "p", [], ["s"])
+    wins = F.sum(F.col("m") * (F.col("upto") - F.col("p") / 2))
     return full.agg((wins / F.nullif(F.sum("p") * F.sum("m"), F.lit(0))).alias("auc"))
 
 
 def nearest_rank(values: DataFrame, value: str, percents: list[float], by: list[str]) -> DataFrame:
     """``by, percent, value``: the value at rank round-half-even(p/100 n), from 1 to n.
 
-    Equal values are counted first, so a group's rows shrink to its distinct values.
+    Equal values are counted first, and counts are summed over ranges, so a group of any size
+    spreads over tasks.
     """
     each = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy(*by)
-    run = each.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
-    asked = run.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents])))
-    rank = F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.col("percent") / 100 * F.col("n")).cast("long")))
-    return asked.where((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select(*by, "percent", F.col("v").alias("value"))
+    rank = lambda p: F.greatest(F.lit(1), F.least(F.col("n"), F.bround(p / 100 * F.col("n")).cast("long")))
+    asked = F.transform(F.array(*[F.lit(float(p)) for p in percents]), lambda p: F.struct(p.alias("percent"), rank(p).alias("k")))
+    run = running(each, "c", by, ["v"]).select("*", F.inline(asked))
+    return run.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("c") < F.col("k"))).select(*by, "percent", F.col("v").alias("value"))
 
 
 def extraction_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
@@ -100,8 +98,13 @@ def projected_accuracy(spark, p: float, hops: int = 4) -> DataFrame:
 
 
 def win_rate(pairs: DataFrame, gold: str, other: str, by: list[str] | None = None) -> DataFrame:
-    """Share of pairs whose gold score is strictly lower, with medians of both."""
-    return pairs.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(gold) < F.col(other)).cast("double")).alias("win_rate"), F.median(gold).alias("median_gold"), F.median(other).alias("median_other"))
+    """Share of pairs whose gold score is strictly lower, with medians of both, for each of ``by``."""
+    keys = by or ["_all"]
+    own = pairs if by else pairs.withColumn("_all", F.lit(1))
+    out = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(gold) < F.col(other)).cast("double")).alias("win_rate"))
+    for column, name in ((gold, "median_gold"), (other, "median_other")):
+        out = out.join(medians(own, column, keys, name), keys, "left")
+    return out.select(*(by or []), "n", "win_rate", "median_gold", "median_other")
 
 
 def rate_limited(requests: DataFrame, limit: int, client: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:

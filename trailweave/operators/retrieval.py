@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from trailweave.cluster import written
 from trailweave.functions.text import normalised, tokens
+from trailweave.operators.ranges import numbered
 
 
 def postings(docs: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
@@ -29,7 +31,7 @@ def tfidf(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
 
     Documents without a shared term score 0 and follow, in order of id, where fewer than ``k`` share one.
     """
-    posted = postings(docs)
+    posted = written(postings(docs), "postings")
     n = docs.agg(F.count(F.lit(1))).scalar()
     idf = document_frequency(posted).select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weighed = posted.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
@@ -50,7 +52,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: f
 
     Documents without text count among all and in the mean length.
     """
-    posted = postings(docs)
+    posted = written(postings(docs), "postings")
     sizes = docs.select("id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)).alias("len")).withColumn("len", F.greatest("len", F.lit(0)))
     n, mean, df = sizes.agg(F.count(F.lit(1))).scalar(), sizes.agg(F.avg("len")).scalar(), F.col("df")
     idf = F.greatest(F.lit(1e-6), F.log((n - df + 0.5) / (df + 0.5) + 1))
@@ -69,13 +71,9 @@ def random_top(queries: DataFrame, docs: DataFrame, k: int = 5, seed: int = 0) -
     queries and documents are formed.
     """
     size = docs.count()
-    # Places in the ring: within ranges of the hash, after the rows of the ranges before.
-    ranged = docs.select("id", F.xxhash64(F.lit(seed), "id").alias("h")).repartitionByRange("h", "id").withColumn("part", F.spark_partition_id())
-    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c")).withColumn("below", F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.row_number().over(W.partitionBy("part").orderBy("h", "id"))
-    ring = ranged.withColumn("own", inner).join(F.broadcast(before), "part").select("id", (F.col("own") + F.col("below")).cast("int").alias("at"))
+    ring = numbered(docs.select("id", F.xxhash64(F.lit(seed), "id").alias("h")), ["h", "id"]).select("id", "at")
     want = queries.select("qid", F.explode(F.sequence(F.lit(0), F.lit(min(k, size) - 1))).alias("j")) if size else queries.select("qid", F.lit(0).alias("j")).where("false")
-    want = want.withColumn("at", (F.pmod(F.xxhash64(F.lit(seed), "qid") + F.col("j"), F.lit(max(1, size))) + 1).cast("int"))
+    want = want.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "qid") + F.col("j"), F.lit(max(1, size))) + 1)
     return want.join(ring, "at").select("qid", "id", F.lit(0.0).alias("score"), (F.col("j") + 1).alias("rank"))
 
 

@@ -113,29 +113,34 @@ def procrustes(moment: np.ndarray) -> np.ndarray:
     return u @ vt
 
 
-def learned_maps(edges: DataFrame, stalks: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> dict[str, np.ndarray]:
-    """An orthogonal map for each relation that is seen, and the transpose for its inverse.
+def moments(edges: DataFrame, stalks: DataFrame) -> DataFrame:
+    """``relation, i, j, m``: sums over edges of the target's place i times the source's place j.
 
-    ``edges``: src, relation, dst. Edges without both stalks are no evidence. Only the sums of
-    target-source products leave the executors: one matrix for each relation, whatever the edges.
+    ``edges``: src, relation, dst; ``stalks``: id, sheaf_stalk. Edges without both stalks are left
+    out. Products are summed before the shuffle: one matrix for each relation and task leaves it.
     """
     s = stalks.select(F.col("id"), F.col("sheaf_stalk").alias("x"))
     pairs = edges.select("src", "relation", "dst").join(s.withColumnsRenamed({"id": "src", "x": "xa"}), "src").join(s.withColumnsRenamed({"id": "dst", "x": "xb"}), "dst")
-    names = {r.relation: canonical(r.relation, vocabulary) for r in pairs.select("relation").distinct().collect()}
-    if not names:
-        return {}
     cells = pairs.select("relation", F.posexplode("xb").alias("i", "y"), "xa").select("relation", "i", F.posexplode("xa").alias("j", "x"), "y")
-    sums = cells.groupBy("relation", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("m")).toPandas()
+    return cells.groupBy("relation", "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("m"))
+
+
+def learned_maps(edges: DataFrame, stalks: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> dict[str, np.ndarray]:
+    """An orthogonal map for each relation that is seen, and the transpose for its inverse, from ``moments``."""
+    sums = moments(edges, stalks).toPandas()  # one matrix for each relation
+    if not len(sums):
+        return {}
     dim = int(sums["i"].max()) + 1
-    moments: dict[str, np.ndarray] = {}
+    names = {r: canonical(r, vocabulary) for r in sums["relation"].unique()}
+    found: dict[str, np.ndarray] = {}
     for relation, part in sums.groupby("relation"):
         m = np.zeros((dim, dim))
         m[part["i"], part["j"]] = part["m"]
         name, transposed, both = names[relation]
         m = m.T if transposed else m + m.T if both else m
-        moments[name] = moments.get(name, np.zeros((dim, dim))) + m
+        found[name] = found.get(name, np.zeros((dim, dim))) + m
     out = {}
-    for name, m in moments.items():
+    for name, m in found.items():
         out[name] = procrustes(m)
         inverse = vocabulary.inverse_of(name)
         if inverse not in (None, name):

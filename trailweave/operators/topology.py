@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trailweave.cluster import shipped
-from trailweave.functions.vectors import planes, probe_codes, sign_code, similarity, unit
+from trailweave.functions.vectors import planes, probe_codes, sign_code, sign_planes, similarity, unit
 
 BINS, HOPS = 32, 2
 
@@ -42,41 +40,56 @@ def deaths_of_components(d: np.ndarray) -> list[float]:
 
 
 def loops(d: np.ndarray) -> list[tuple[float, float]]:
-    """H1 bars (birth, death) of the Vietoris-Rips complex, by reducing triangles over two elements.
+    """H1 bars (birth, death) of the Vietoris-Rips complex.
 
-    Triangles go by diameter; each is a set of edges, its pivot the latest edge. Adding the
-    earlier triangle with the same pivot until the pivot is new pairs that edge's birth with the
-    triangle's diameter. In a full simplex every loop dies.
+    At the enclosing radius, the least distance within which one point sees all, the complex is a
+    cone: loops that still live die there, and no pair that far apart bears one. So only shorter
+    pairs count, few in a net of steps. Of these, those that join no components bear a loop each;
+    their triangles go by diameter, each a set of edges with the latest as pivot. Adding the
+    earlier triangle with the same pivot until the pivot is new pairs that edge with the diameter.
     """
     n = len(d)
-    edges = sorted(combinations(range(n), 2), key=lambda e: (d[e], e))
-    place = {e: k for k, e in enumerate(edges)}
-    triangles = sorted((max(place[a, b], place[a, c], place[b, c]), (place[a, b], place[a, c], place[b, c])) for a, b, c in combinations(range(n), 3))
+    radius = d.max(axis=1).min()
+    i, j = np.nonzero(np.triu(d < radius, 1))
+    order = np.lexsort((j, i, d[i, j]))
+    edges = list(zip(i[order].tolist(), j[order].tolist(), strict=True))
+    place, ahead = {e: k for k, e in enumerate(edges)}, [set() for _ in range(n)]
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    alive, triangles = [], []
+    for k, (a, b) in enumerate(edges):
+        if top(a) == top(b):
+            alive.append(k)
+            triangles += [(k, (k, place[min(a, c), max(a, c)], place[min(b, c), max(b, c)])) for c in sorted(ahead[a] & ahead[b])]
+        root[top(a)] = top(b)
+        ahead[a].add(b)
+        ahead[b].add(a)
     reduced: dict[int, set[int]] = {}
-    out = []
+    dies = dict.fromkeys(alive, float(radius))
     for last, sides in triangles:
         column = set(sides)
         while column and (pivot := max(column)) in reduced:
             column ^= reduced[pivot]
         if column:
             reduced[pivot] = column
-            birth, death = float(d[edges[pivot]]), float(d[edges[last]])
-            if death > birth:
-                out.append((birth, death))
-    return out
+            dies[pivot] = float(d[edges[last]])
+    return [(float(d[edges[k]]), death) for k, death in dies.items() if death > d[edges[k]]]
 
 
-def signature(d: np.ndarray, bins: int = BINS, most_for_loops: int = 64) -> np.ndarray:
+def signature(d: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Histograms of H0 and H1 lifetimes over (0, largest finite death); zeros for under 2 points.
 
-    The bar that never dies lies beyond the range and so has no bin. Loops of more than
-    ``most_for_loops`` points are left at zero: triangles grow with the cube.
+    The bar that never dies lies beyond the range and so has no bin.
     """
-    n = len(d)
-    if n < 2:
+    if len(d) < 2:
         return np.zeros(2 * bins)
-    zero = deaths_of_components(d)
-    one = loops(d) if n <= most_for_loops else []
+    zero, one = deaths_of_components(d), loops(d)
     top = max([*zero, *(x for _, x in one)], default=1.0) or 1.0
     lives = (zero, [b - a for a, b in one])
     return np.concatenate([np.histogram(x, bins=bins, range=(0.0, top))[0].astype(float) if x else np.zeros(bins) for x in lives])
@@ -92,11 +105,11 @@ def ego_nets(objects: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFram
     return seen
 
 
-def signatures(objects: DataFrame, edges: DataFrame, hops: int = HOPS, bins: int = BINS, most_for_loops: int = 64) -> DataFrame:
+def signatures(objects: DataFrame, edges: DataFrame, hops: int = HOPS, bins: int = BINS) -> DataFrame:
     """``id, topo_signature, n_nodes`` of every object with a neighbour.
 
-    Edges inside each ego net are gathered per object, so memory is for one net; hubs make large
-    nets, whose loops are skipped beyond ``most_for_loops`` nodes.
+    Edges inside each ego net are gathered per object, so memory is for one net, with the square
+    of its nodes: two steps around a hub are its neighbours' neighbours.
     """
     shipped(objects.sparkSession)
     nets = ego_nets(objects, edges, hops)
@@ -108,7 +121,7 @@ def signatures(objects: DataFrame, edges: DataFrame, hops: int = HOPS, bins: int
         nodes = sorted({*group["a"], *group["b"]})
         at = {x: k for k, x in enumerate(nodes)}
         d = distances(len(nodes), [(at[a], at[b], w) for a, b, w in zip(group["a"], group["b"], group["w"], strict=True)])
-        return pd.DataFrame({"id": [group["id"].iloc[0]], "topo_signature": [signature(d, bins, most_for_loops)], "n_nodes": [len(nodes)]})
+        return pd.DataFrame({"id": [group["id"].iloc[0]], "topo_signature": [signature(d, bins)], "n_nodes": [len(nodes)]})
 
     return inside.groupBy("id").applyInPandas(signed, "id string, topo_signature array<double>, n_nodes long")
 
@@ -123,64 +136,121 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact_top(queries: DataFrame, entries: DataFrame, k: int = 5, bandwidth: float = 1.0) -> DataFrame:
+def _blocks(queries: DataFrame, columns: list[str], size: int):
+    """Rows of ``queries`` in blocks of ``size``, one after the other through the driver."""
+    block = []
+    for row in queries.select(*columns).toLocalIterator(prefetchPartitions=False):
+        block.append(row)
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def exact_top(queries: DataFrame, entries: DataFrame, k: int = 5, bandwidth: float = 1.0, block: int = 50_000, planes: int = 0, radius: int = 0, seed: int = 0) -> DataFrame:
     """``qid, id, similarity, rank``: the ``k`` most similar entries, over all of them.
 
-    Queries (qid, vector) are a stated set; they are held against every entry (id, vector) in
-    blocks of rows by an Arrow function that keeps the best of each batch, so pairs are never
-    rows. Similarity is rounded to 9 digits, ties go by id.
+    Queries (qid, vector) are a stated set, broadcast in blocks of ``block``; every entry (id,
+    vector) is held against them in batches by an Arrow function that keeps the best of each
+    batch, so pairs are never rows. Similarity is rounded to 9 digits, ties go by id. With
+    ``planes`` (a multiple of 8), see ``sketch_top``.
     """
-    shipped(queries.sparkSession)
-    q = queries.where("vector is not null").select("qid", "vector").toPandas()
-    if len(q) > 200_000:
-        raise ValueError("over 200,000 queries: give them in blocks")
+    spark = queries.sparkSession
+    shipped(spark)
     entry, query = entries.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
-    ids = q["qid"].to_numpy()
-    v = np.array([np.asarray(x, float) for x in q["vector"]]).reshape(len(q), -1)
-    held = queries.sparkSession.sparkContext.broadcast((ids, v / np.where(np.linalg.norm(v, axis=1) > 0, np.linalg.norm(v, axis=1), 1)[:, None] if len(v) else v))
-
-    def search(batches):
-        names, units = held.value
-        for pdf in batches:
-            if not len(pdf) or not len(names):
-                continue
-            x = np.array([np.asarray(r, float) for r in pdf["vector"]])
-            n = np.linalg.norm(x, axis=1)
-            x = x / np.where(n > 0, n, 1)[:, None]
-            parts = []
-            for at in range(0, len(names), 256):
-                u = units[at : at + 256]
-                d = np.sqrt(np.maximum(0.0, (u * u).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * u @ x.T))
-                zero_u, zero_x = ~u.any(axis=1), ~x.any(axis=1)
-                s = np.where(zero_u[:, None] & zero_x[None, :], 1.0, np.where(zero_u[:, None] | zero_x[None, :], 0.0, np.exp(-bandwidth * d)))
-                some = min(k, s.shape[1])
-                floor = np.partition(s, s.shape[1] - some, axis=1)[:, s.shape[1] - some]
-                i, j = np.nonzero(s >= floor[:, None] - 1e-7)
-                diff = u[i] - x[j]
-                exact = np.where(zero_u[i] | zero_x[j], s[i, j], np.exp(-bandwidth * np.sqrt((diff * diff).sum(1))))
-                parts.append(pd.DataFrame({"qid": names[at : at + 256][i], "id": pdf["id"].to_numpy()[j], "similarity": np.round(exact, 9)}))
-            yield pd.concat(parts)
-
-    found = entries.where("vector is not null").select("id", "vector").mapInPandas(search, f"qid {query}, id {entry}, similarity double")
-    return _best(found, k)
-
-
-def index(entries: DataFrame, dim: int, n_planes: int = 16, seed: int = 0) -> DataFrame:
-    """``id, vector, code``: every entry at length 1 with the sign code of its side of each plane."""
+
+    def against(block: list) -> DataFrame:
+        ids = np.array([r["qid"] for r in block], object)
+        v = np.array([r["vector"] for r in block], float).reshape(len(block), -1)
+        n = np.linalg.norm(v, axis=1)
+        units = v / np.where(n > 0, n, 1)[:, None]
+        signs = np.array(sign_planes(planes, v.shape[1], seed), float) if planes else None
+        codes = lambda x: np.packbits(x @ signs.T >= 0, axis=1).view(np.uint8)
+        held = spark.sparkContext.broadcast((ids, units, codes(units) if planes else None))
+
+        def search(batches):
+            names, units, own = held.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.array([np.asarray(r, float) for r in pdf["vector"]])
+                n = np.linalg.norm(x, axis=1)
+                x = x / np.where(n > 0, n, 1)[:, None]
+                theirs = codes(x) if planes else None
+                parts = []
+                for at in range(0, len(names), 256):
+                    u = units[at : at + 256]
+                    zero_u, zero_x = ~u.any(axis=1), ~x.any(axis=1)
+                    if planes:
+                        apart = np.zeros((len(u), len(x)), np.int32)
+                        for byte in range(theirs.shape[1]):
+                            apart += np.bitwise_count(own[at : at + 256, byte, None] ^ theirs[None, :, byte])
+                        i, j = np.nonzero(apart <= radius)
+                        s = None
+                    else:
+                        d = np.sqrt(np.maximum(0.0, (u * u).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * u @ x.T))
+                        s = np.where(zero_u[:, None] & zero_x[None, :], 1.0, np.where(zero_u[:, None] | zero_x[None, :], 0.0, np.exp(-bandwidth * d)))
+                        some = min(k, s.shape[1])
+                        floor = np.partition(s, s.shape[1] - some, axis=1)[:, s.shape[1] - some]
+                        i, j = np.nonzero(s >= floor[:, None] - 1e-7)
+                    exact = np.exp(-bandwidth * np.sqrt(((u[i] - x[j]) ** 2).sum(1)))
+                    exact = np.where(zero_u[i] & zero_x[j], 1.0, np.where(zero_u[i] | zero_x[j], 0.0, exact))
+                    own_part = pd.DataFrame({"qid": names[at : at + 256][i], "id": pdf["id"].to_numpy()[j], "similarity": np.round(exact, 9)})
+                    if planes:
+                        own_part["ranked"] = own_part.groupby("qid")["id"].transform("size")
+                        own_part = own_part.sort_values(["qid", "similarity", "id"], ascending=[True, False, True]).groupby("qid").head(k)
+                        first = ~own_part.duplicated("qid")
+                        own_part["ranked"] = own_part["ranked"].where(first, 0)
+                    parts.append(own_part)
+                yield pd.concat(parts)
+
+        more = ", ranked bigint" if planes else ""
+        return entries.where("vector is not null").select("id", "vector").mapInPandas(search, f"qid {query}, id {entry}, similarity double{more}")
+
+    found = None
+    for rows in _blocks(queries.where("vector is not null"), ["qid", "vector"], block):
+        part = against(rows)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], f"qid {query}, id {entry}, similarity double{', ranked bigint' if planes else ''}")
+    return _best(found, k) if not planes else _counted(found, k)
+
+
+def _counted(found: DataFrame, k: int) -> DataFrame:
+    whole = W.partitionBy("qid")
+    return _best(found.withColumn("ranked", F.sum("ranked").over(whole)), k)
+
+
+def sketch_top(queries: DataFrame, entries: DataFrame, k: int = 5, planes: int = 256, radius: int = 112, seed: int = 0, bandwidth: float = 1.0) -> DataFrame:
+    """``qid, id, similarity, rank, ranked``: as ``exact_top``, but only entries are ranked whose sketch is near.
+
+    A sketch has the signs of ``planes`` seeded planes; entries within ``radius`` differing bits of a query are ranked exactly, so their number
+    (``ranked``) is a small share of all where buckets of few bits would miss distant neighbours.
+    All entries are looked at, in batches, at a bit for each plane; ``recall`` measures the misses.
+    """
+    return exact_top(queries, entries, k, bandwidth, planes=planes, radius=radius, seed=seed)
+
+
+def index(entries: DataFrame, dim: int, n_planes: int = 16, seed: int = 0, tables: int = 1) -> DataFrame:
+    """``id, vector, codes``: every entry at length 1 with its sign code in each of ``tables`` sets of planes."""
     bad = F.raise_error(F.concat(F.lit("vector length "), F.size("vector").cast("string"), F.lit(f"; the index has {dim}")))
     own = entries.where("vector is not null").select("id", F.when(F.size("vector") != dim, F.array(bad.cast("double"))).otherwise(unit(F.col("vector"))).alias("vector"))
-    return own.withColumn("code", sign_code(F.col("vector"), planes(n_planes, dim, seed)))
+    return own.withColumn("codes", F.array(*[sign_code(F.col("vector"), planes(n_planes, dim, seed + t)) for t in range(tables)]))
 
 
-def near_top(queries: DataFrame, indexed: DataFrame, dim: int, k: int = 5, radius: int = 2, n_planes: int = 16, seed: int = 0, bandwidth: float = 1.0) -> DataFrame:
-    """``qid, id, similarity, rank``: entries of the buckets within ``radius`` flipped bits, exactly ranked.
+def near_top(queries: DataFrame, indexed: DataFrame, dim: int, k: int = 5, radius: int = 2, n_planes: int = 16, seed: int = 0, bandwidth: float = 1.0, tables: int = 1) -> DataFrame:
+    """``qid, id, similarity, rank``: entries of the buckets within ``radius`` flipped bits in any table, exactly ranked.
 
-    An equi-join on bucket codes. Entries are all indexed; ``recall`` measures what the probes miss.
+    An equi-join on table and bucket code. For close neighbours; ``sketch_top`` finds distant ones.
+    Entries are all indexed; ``recall`` measures what the probes miss.
     """
     q = queries.where("vector is not null").select("qid", unit(F.col("vector")).alias("u"))
-    q = q.withColumn("code", F.explode(probe_codes(sign_code(F.col("u"), planes(n_planes, dim, seed)), n_planes, radius)))
-    pairs = q.join(indexed, "code").select("qid", "id", F.round(similarity(F.col("u"), F.col("vector"), bandwidth), 9).alias("similarity"))
-    return _best(pairs, k)
+    own = F.array(*[F.transform(probe_codes(sign_code(F.col("u"), planes(n_planes, dim, seed + t)), n_planes, radius), lambda c, t=t: F.struct(F.lit(t).alias("t"), c.alias("code"))) for t in range(tables)])
+    q = q.select("qid", "u", F.inline(F.flatten(own)))
+    met = q.join(indexed.select("id", "vector", F.posexplode("codes").alias("t", "code")), ["t", "code"])
+    pairs = met.groupBy("qid", "id").agg(F.first("u").alias("u"), F.first("vector").alias("vector"))
+    return _best(pairs.select("qid", "id", F.round(similarity(F.col("u"), F.col("vector"), bandwidth), 9).alias("similarity")), k)
 
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def _frontiers(queries: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _settled_once(queries: DataFrame, edges: DataFrame) -> DataFrame:
-    """Unequal weights: each query's own frontier is settled with a heap, a node once, at its first pop.
+    """Some weights are zero: each query's own frontier is settled with a heap, a node once, at its first pop.
 
     A group is what one query can reach within its hops, not the graph.
     """
@@ -136,6 +136,35 @@ def _settled_once(queries: DataFrame, edges: DataFrame) -> DataFrame:
     return own.groupBy("qid").applyInPandas(settle, f"qid {kind}, object_id string, geodesic double, hops int, path {_STEPS}, settled long").drop("settled")
 
 
+def _by_rounds(queries: DataFrame, edges: DataFrame, paths: bool) -> DataFrame:
+    """Unequal, positive weights: every node's state follows from its predecessors' until none changes.
+
+    A state is a node's cost, hops and path; the least (cost, predecessor's cost, predecessor, edge
+    order) is what a search that settles each node once would settle first. A node's state rests
+    on cheaper ones only, so the states that reproduce themselves are the search's: right after as
+    many rounds as the hops, and a few more where a cheaper, longer way ends one that was taken.
+    Each round is one join with the edges and one aggregate, so a hub or a query with a large
+    reach spreads over tasks.
+    """
+    q = written(prepared(queries), "queries")
+    none = F.array().cast(_STEPS)
+    start = q.select("qid", F.col("anchor").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit("").alias("src"), F.lit("").alias("relation"), none.alias("path"))
+    e = edges.select(F.col("src").alias("s"), F.col("relation").alias("r"), "dst", "weight", "ord")
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("qid", "node", "cost", "hops", "src", "relation").cast("decimal(38,0)"))).first())
+    now, last, after = written(start, "states"), None, None
+    while after is None or after != last:
+        f = now.drop("src", "relation").join(q.select("qid", "anchor", "chain", "max_hops"), "qid").where(F.col("hops") < F.col("max_hops"))
+        reach = f.join(e, f.node == e.s).where(_allowed(F.col("chain"), F.col("hops"), F.col("r")) & (F.col("dst") != F.col("anchor")))
+        state = [(F.col("cost") + F.col("weight")).alias("total"), "cost", "s", "ord", "r", "weight", "hops", *(["path"] if paths else [])]
+        best = reach.groupBy("qid", "dst").agg(F.min(F.struct(*state)).alias("p"))
+        path = F.concat("p.path", F.array(step(F.col("p.s"), F.col("p.r"), F.col("dst"), F.col("p.weight")))) if paths else none
+        new = best.select("qid", F.col("dst").alias("node"), F.col("p.total").alias("cost"), (F.col("p.hops") + 1).alias("hops"), F.col("p.s").alias("src"), F.col("p.r").alias("relation"), path.alias("path"))
+        then = written(start.unionByName(new), "states")
+        dropped(now)
+        now, last, after = then, after, mark(then)
+    return _to_target(now.where("hops > 0").select("qid", "node", "cost", "hops", "path"), q)
+
+
 def _cheapest(queries: DataFrame, edges: DataFrame) -> DataFrame:
     """True least cost with at most the given hops. Not what settling once finds where weights differ."""
     q = prepared(queries)
@@ -162,18 +191,23 @@ def geodesic_paths(queries: DataFrame, edges: DataFrame, objects: DataFrame | No
     dearer, shorter way. ``chain`` filters hop by hop and lets all relations follow it; the anchor
     is never returned; unknown anchors return nothing (``objects`` given) and so do dangling ones.
 
-    plan: "auto" goes level by level if all weights are equal and positive, else by heap for each
-    query; both agree where both apply. "min" is least cost within the hops, another question.
+    plan: "auto" goes level by level if all weights are equal and positive, by rounds if they are
+    positive, and with a heap for each query where some are zero, whose order of settling joins
+    can't tell; all agree where they apply. "min" is least cost within the hops, another question.
     """
     if objects is not None:
         queries = queries.join(objects.select(F.col("id").alias("anchor")), "anchor", "left_semi")
     low, high = checked(edges)
     if plan == "auto":
-        plan = "level" if low is None or (low == high and low > 0) else "heap"
+        plan = "level" if low is None or (low == high and low > 0) else "rounds" if low > 0 else "heap"
     if plan == "level":
         return _level_by_level(queries, edges, paths)
+    if plan == "rounds":
+        if low is not None and low <= 0:
+            raise ValueError("rounds need positive weights")
+        return _by_rounds(queries, edges, paths)
     if plan not in ("heap", "min"):
-        raise ValueError("plan is auto, level, heap or min")
+        raise ValueError("plan is auto, level, rounds, heap or min")
     return _settled_once(queries, edges) if plan == "heap" else _cheapest(queries, edges)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.cluster import written
@@ -11,18 +14,30 @@ from trailweave.functions.text import alias_keys, normalised, slug
 from trailweave.functions.vocabulary import Vocabulary
 from trailweave.operators import metrics, retrieval
 from trailweave.operators.extraction import extract_triples
+from trailweave.operators.ranges import numbered
 from trailweave.operators.sheaf import learned_maps, residuals
+from trailweave.operators.traversal import geodesic_paths
 from trailweave.plans.query import query
 from trailweave.sources import documents as D
 
 ENGINE_MODES = ("graph", "topo", "sheaf", "reasoning")
 
 
-def run_worlds(spark: SparkSession, worlds: int = 40, k: int = 5, modes=ENGINE_MODES) -> DataFrame:
-    """Measures of the random floor, TF-IDF and the engine's modes on synthetic worlds, overall and by kind."""
-    docs, asked = D.synthetic_worlds(spark, worlds)
+def run_worlds(spark: SparkSession, worlds: int = 40, k: int = 5, modes=ENGINE_MODES, seed: int = 0) -> DataFrame:
+    """Measures of the random floor, TF-IDF and the engine's modes on synthetic worlds, overall and by kind.
+
+    Ties of TF-IDF go by the documents' order, and the floor is drawn by one seeded generator, as
+    in the published figures: the corpus is small by its definition.
+    """
+    docs, asked = D.synthetic_worlds(spark, worlds, seed)
     objects, edges = D.split_documents(docs)
-    found = [("random", retrieval.random_top(asked, objects, k)), ("lexical", retrieval.tfidf(asked, objects.withColumn("text", F.col("content")), k))]
+    names = [r["_id"] for r in docs.select("_id").collect()]
+    order = spark.createDataFrame(list(enumerate(names)), "place int, _id string")
+    texts = docs.join(order, "_id").select(F.col("place").alias("id"), F.col("content").alias("text"))
+    lexical = retrieval.tfidf(asked, texts, k).join(order, F.col("id") == F.col("place")).select("qid", F.col("_id").alias("id"), "rank")
+    qids = [r.qid for r in asked.orderBy("place").select("qid").collect()]
+    floor = [(q, i, n) for q, own in zip(qids, D.shuffled_top(names, len(qids), k, seed), strict=True) for n, i in enumerate(own, 1)]
+    found = [("random", spark.createDataFrame(floor, "qid string, id string, rank int")), ("lexical", lexical)]
     out = [(name, df.select("qid", F.col("id").alias("object_id"), "rank", F.lit(None).cast("array<string>").alias("relations"))) for name, df in found]
     for mode in modes:
         got = query(asked.select("qid", "text"), objects, edges, mode, k)
@@ -104,8 +119,7 @@ def run_learned_maps(spark: SparkSession, dim: int = 16, noise: float = 0.1, per
 
 def entity_texts(examples: DataFrame) -> DataFrame:
     """``id, text, from_paragraph``: the longest paragraph under any alias of its title, else the name."""
-    para = examples.select(F.explode("context").alias("c")).where("c.text <> ''").select(F.explode(alias_keys(F.col("c.title"))).alias("id"), F.col("c.text").alias("text"))
-    longest = para.groupBy("id").agg(F.min_by("text", F.struct(-F.length("text"), F.col("text"))).alias("text"))
+    longest = D.first_of_longest(examples, alias_keys(F.col("c.title")))
     named = examples.select(F.explode("evidences").alias("t")).select(F.explode(F.array("t.s", "t.o")).alias("name")).select(normalised(F.col("name")).alias("id"), "name").where("id <> ''").groupBy("id").agg(F.min("name").alias("name"))
     both = longest.join(named, "id", "full")
     return both.select("id", F.coalesce("text", "name").alias("text"), F.col("text").isNotNull().alias("from_paragraph"))
@@ -122,38 +136,83 @@ def chains(examples: DataFrame) -> DataFrame:
 def corrupted(own: DataFrame, seed: int = 0) -> DataFrame:
     """``qid, kind, source, relations, target``: one seeded negative of each kind that fits a chain.
 
-    relation_swap, tail_swap, source_swap and shuffle (the relations turned round). Other
-    relations and entities come from one row of distinct values by a hash; the row grows with the
-    vocabulary, so entities are drawn from a ring joined by place.
+    relation_swap, tail_swap, source_swap and shuffle (another order of the relations, by a hash
+    of each place; of eight tries the first that differs). Other relations are the vocabulary's,
+    other entities those of all chains; both are drawn from rings of distinct values, joined by
+    place, so nothing is collected.
     """
-    spark = own.sparkSession
-    vocabulary = sorted(r[0] for r in own.select(F.explode("relations")).distinct().collect())
-    words = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
     draw = lambda *salt: F.xxhash64("qid", *map(F.lit, (seed, *salt)))
-    other = F.array_except(words, F.col("relations"))
+
+    def ring(values: DataFrame) -> tuple[DataFrame, Column]:
+        """Distinct ``e`` with places from 0, and their number."""
+        ranked = numbered(values.distinct(), ["e"])
+        return written(ranked.select("e", (F.col("at") - 1).alias("place")), "ring"), F.greatest(values.agg(F.countDistinct("e")).scalar(), F.lit(1))
+
+    def drawn(of: tuple[DataFrame, Column], salt: str, unlike: Column, tries: Column) -> DataFrame:
+        """``qid, e``: the first value from a chain's own place on that is unlike its own."""
+        values, n = of
+        asked = own.withColumn("j", F.explode(F.sequence(F.lit(0), tries))).withColumn("place", F.pmod(draw(salt) + F.col("j"), n))
+        return asked.join(values, "place").where(unlike).groupBy("qid").agg(F.min_by("e", "j").alias("e"))
+
+    words = ring(own.select(F.explode("relations").alias("e")))
+    other = drawn(words, "pick", ~F.array_contains("relations", F.col("e")), F.size("relations"))
     at = F.pmod(draw("at"), F.size("relations"))
-    swap = F.transform("relations", lambda r, i: F.when(i == at, F.get(other, F.pmod(draw("pick"), F.greatest(F.lit(1), F.size(other))).cast("int"))).otherwise(r))
-    relation = own.where(F.size(other) > 0).select("qid", F.lit("relation_swap").alias("kind"), "source", swap.alias("relations"), "target")
-    turned = F.reverse("relations")
-    shuffle = own.where(turned != F.col("relations")).select("qid", F.lit("shuffle").alias("kind"), "source", turned.alias("relations"), "target")
-    entities = own.select(F.explode(F.array("source", "target")).alias("e")).distinct()
-    n = max(1, entities.count())
-    ring = entities.rdd.map(lambda r: r.e).sortBy(lambda e: e).zipWithIndex().toDF(["e", "place"]) if n > 1 else spark.createDataFrame([], "e string, place long")
-    out = relation.unionByName(shuffle)
+    swap = F.transform("relations", lambda r, i: F.when(i == at, F.col("e")).otherwise(r))
+    out = own.join(other, "qid").select("qid", F.lit("relation_swap").alias("kind"), "source", swap.alias("relations"), "target")
+    order = lambda t: F.transform(F.array_sort(F.transform("relations", lambda r, i: F.struct(F.xxhash64("qid", F.lit(seed), t, i).alias("h"), i.alias("i"), r.alias("r")))), lambda x: x["r"])
+    shuffled = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), order), lambda x: x != F.col("relations")), F.lit(0))
+    out = out.unionByName(own.select("qid", F.lit("shuffle").alias("kind"), "source", shuffled.alias("relations"), "target").where("relations is not null"))
+    entities = ring(own.select(F.explode(F.array("source", "target")).alias("e")))
     for kind, column in (("tail_swap", "target"), ("source_swap", "source")):
         # Three places for each chain: at least one is neither of its ends.
-        tries = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("place", F.pmod(draw(kind) + F.col("j"), F.lit(n)))
-        hit = tries.join(ring, "place").where((F.col("e") != F.col("source")) & (F.col("e") != F.col("target"))).groupBy("qid").agg(F.min_by("e", "j").alias("e"))
+        hit = drawn(entities, kind, (F.col("e") != F.col("source")) & (F.col("e") != F.col("target")), F.lit(2))
         part = own.join(hit, "qid").withColumn(column, F.col("e"))
         out = out.unionByName(part.select("qid", F.lit(kind).alias("kind"), "source", "relations", "target"))
     return out
 
 
 def markdown(rows: DataFrame, columns: list[str]) -> str:
-    """A report table; numbers with three decimals, null as n/a. Reports are summaries of a few rows."""
+    """A report table; numbers with three decimals, null as n/a. Rows come one partition at a time, all of them."""
     show = lambda v: "n/a" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     head = [f"| {' | '.join(columns)} |", "|" + "---|" * len(columns)]
-    return "\n".join([*head, *(f"| {' | '.join(show(v) for v in r)} |" for r in rows.select(*columns).limit(1000).collect())])
+    return "\n".join([*head, *(f"| {' | '.join(show(v) for v in r)} |" for r in rows.select(*columns).toLocalIterator())])
+
+
+#: Reports: heading, and the columns that it shows of a run's rows.
+REPORTS = {
+    "worlds": ("Retrieval on synthetic worlds", ("retriever", "kind", "n", "hits_at_1", "hits_at_k", "precision_at_k", "recall_at_k", "reciprocal_rank", "path_correct")),
+    "examples": ("Multi-hop questions", ("retriever", "kind", "n", "link_correct", "hits_at_k", "reciprocal_rank", "path_correct")),
+    "extraction": ("Triple extraction", ("n_gold", "n_predicted", "n_exact", "precision", "recall", "f1", "relation_accuracy")),
+    "projection": ("Accuracy over hops", ("hops", "accuracy")),
+    "maps": ("Learned restriction maps", ("hops", "maps", "residual")),
+    "probe": ("True chains against corrupted ones", ("maps", "kind", "n", "auc", "win_rate", "median_gold", "median_other")),
+    "scale": ("Traversal over graph sizes", ("objects", "anchors", "seconds", "anchors_per_second")),
+    "requests": ("Requests", ("path", "status", "n", "mean_latency")),
+}
+
+
+def report(name: str, rows: DataFrame, form: str = "markdown") -> str:
+    """A run's rows as a Markdown section, or as JSON (``form`` "json"), sorted by their first columns."""
+    title, columns = REPORTS[name]
+    own = rows.select(*[c for c in columns if c in rows.columns])
+    own = own.orderBy(*own.columns[:3])
+    if form == "json":
+        return json.dumps({"report": name, "rows": [json.loads(r[0]) for r in own.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]})
+    return f"## {title}\n\n{markdown(own, own.columns)}"
+
+
+def run_scale(spark: SparkSession, sizes=(1_000, 10_000, 50_000), anchors: int = 1_000, degree: int = 4, max_hops: int = 4, seed: int = 0) -> DataFrame:
+    """``objects, anchors, seconds, anchors_per_second``: four-hop traversals of random graphs, all anchors as one batch."""
+    rows = []
+    for n in sizes:
+        _, edges = D.random_graph(spark, n, degree, seed)
+        edges = written(edges, "graph")
+        asked = spark.range(min(anchors, n)).select(F.col("id").alias("qid"), F.concat(F.lit("n"), F.col("id") * (n // min(anchors, n))).alias("anchor"), F.lit(max_hops).alias("max_hops"))
+        began = time.perf_counter()
+        geodesic_paths(asked, edges, paths=False).write.format("noop").mode("overwrite").save()
+        seconds = time.perf_counter() - began
+        rows.append((n, min(anchors, n), seconds, min(anchors, n) / seconds))
+    return spark.createDataFrame(rows, "objects long, anchors long, seconds double, anchors_per_second double")
 
 
 def run_probe(examples: DataFrame, dim: int = 32, held: float = 0.3, seed: int = 0, max_hops: int = 3, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave import stored
+from trailweave.cluster import written
 from trailweave.functions import text as X
+from trailweave.functions import vectors as V
 from trailweave.functions.vocabulary import Vocabulary
 from trailweave.operators import extraction, metrics, onehop, retrieval, sheaf, topology
 from trailweave.operators.rank import explained
@@ -71,12 +75,12 @@ def path_chain(spark, sf_dir):
 def path_weighted(spark, sf_dir):
     objects, edges = driver_graph(spark, sf_dir)
     chain = F.array(*map(F.lit, ("supplied_by", "located_in", "part_of")))
-    return geodesic_paths(_anchors(objects, "p", chain=chain, max_hops=3), edges.where("relation in ('supplied_by', 'located_in', 'part_of')"), plan="heap").select("qid", "object_id", "geodesic", "hops")
+    return geodesic_paths(_anchors(objects, "p", chain=chain, max_hops=3), edges, plan="rounds").select("qid", "object_id", "geodesic", "hops")
 
 
 def path_cheapest(spark, sf_dir):
     objects, edges = driver_graph(spark, sf_dir)
-    return geodesic_paths(_anchors(objects, "p", max_hops=2), edges.where("relation in ('supplied_by', 'located_in')"), plan="min").select("qid", "object_id", "geodesic", "hops")
+    return geodesic_paths(_anchors(objects, "p", max_hops=2), edges, plan="min").select("qid", "object_id", "geodesic", "hops")
 
 
 def blast_radius(spark, sf_dir):
@@ -97,8 +101,9 @@ def rank_graph(spark, sf_dir):
 
 
 def query_relation(spark, sf_dir):
+    """All suppliers of each nation, by the virtual inverse of their edge to it."""
     objects, edges = driver_graph(spark, sf_dir)
-    return query(_anchors(objects, "n", relation="location_of"), objects, edges, "graph", 5, VOCABULARY).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+    return query(_anchors(objects, "n", relation="location_of"), objects, edges, "graph", 1_000_000, VOCABULARY).select("qid", "object_id", "content", "score", "geodesic", "explain")
 
 
 def graph_export(spark, sf_dir):
@@ -181,18 +186,28 @@ def similar_exact_topk(spark, sf_dir):
     return topology.exact_top(asked, entries, 5).select("qid", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-def _near(spark, sf_dir):
-    asked, entries = _vectors(spark, sf_dir)
-    return topology.near_top(asked, topology.index(entries, 64, 8), 64, 5, 5, 8)
+#: Planes of the sketches, the differing bits that are ranked, their seed.
+SKETCH = (256, 112, 0)
+
+
+def lsh_codes(spark, sf_dir):
+    """Sign codes of all vectors for 16 planes."""
+    _, entries = _vectors(spark, sf_dir)
+    return entries.select("id", V.sign_code(V.unit(F.col("vector")), V.sign_planes(16, 64)).alias("code"))
 
 
 def lsh_topk(spark, sf_dir):
-    return _near(spark, sf_dir)
+    """The nearest by sketches, of the vectors whose id is divisible by 100."""
+    asked, entries = _vectors(spark, sf_dir)
+    return topology.sketch_top(asked, entries, 5, *SKETCH).select("qid", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def lsh_recall(spark, sf_dir):
+    """Recall of the sketches against all vectors, and the share of vectors that they rank."""
     asked, entries = _vectors(spark, sf_dir)
-    return topology.recall(topology.exact_top(asked, entries, 5), _near(spark, sf_dir))
+    found = written(topology.sketch_top(asked, entries, 5, *SKETCH), "found")
+    share = found.where("rank = 1").agg((F.sum("ranked") / F.count(F.lit(1))).alias("ranked")).withColumn("ranked", F.round(F.col("ranked") / entries.agg(F.count(F.lit(1))).scalar(), 9))
+    return topology.recall(topology.exact_top(asked, entries, 5), found).withColumn("recall", F.round("recall", 9)).withColumn("ranked_share", share.scalar())
 
 
 def ir_metrics(spark, sf_dir):
@@ -236,39 +251,88 @@ def sheaf_rank(spark, sf_dir):
 
 
 def topo_signature(spark, sf_dir):
+    """Signatures of all objects from what lies one step around them."""
     objects, edges = driver_graph(spark, sf_dir)
-    own = objects.where("startswith(id, 'n:') or startswith(id, 'r:')")
-    return topology.signatures(own, edges.where("relation in ('part_of', 'contradicts') and startswith(src, 'n:')")).select("id", "n_nodes", "topo_signature")
+    out = topology.signatures(objects, edges, 1)
+    bins = F.transform("topo_signature", lambda x: x.cast("int").cast("string"))
+    return out.select("id", "n_nodes", F.array_join(F.slice(bins, 1, 32), ",").alias("h0"), F.aggregate(F.slice("topo_signature", 33, 32), F.lit(0.0), lambda a, x: a + x).alias("loops"))
+
+
+def _stalks(spark, sf_dir):
+    """Every vector as the stalk of the supplier, nation and region of its number."""
+    own = _t(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("sheaf_stalk"))
+    return own.select(F.explode(F.array(*[F.concat(F.lit(k), F.col("vec_id").cast("string")) for k in ("s:", "n:", "r:")])).alias("id"), "sheaf_stalk")
 
 
 def procrustes(spark, sf_dir):
-    """Maps learned from the embeddings of neighbours in the star schema's suppliers and nations."""
+    """Maps learned from the embeddings of neighbours: suppliers, nations and regions take the vectors of their numbers."""
     _, edges = driver_graph(spark, sf_dir)
-    own = edges.where("relation in ('located_in', 'part_of', 'contradicts')")
-    stalks = _t(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("sheaf_stalk"))
-    ids = stalks.select(F.explode(F.array(*[F.concat(F.lit(k), F.col("vec_id").cast("string")) for k in ("s:", "n:", "r:")])).alias("id"), "sheaf_stalk")
-    maps = sheaf.learned_maps(own, ids, VOCABULARY)
+    maps = sheaf.learned_maps(edges, _stalks(spark, sf_dir), VOCABULARY)
     return spark.createDataFrame([(r, i, j, float(round(m[i, j], 6))) for r, m in sorted(maps.items()) for i in range(len(m)) for j in range(len(m))], "relation string, i int, j int, value double")
 
 
+def stalk_moments(spark, sf_dir):
+    """The sums that maps are learned from."""
+    _, edges = driver_graph(spark, sf_dir)
+    return sheaf.moments(edges, _stalks(spark, sf_dir)).select("relation", "i", "j", F.round("m", 6).alias("m"))
+
+
+def sheaf_residual(spark, sf_dir):
+    """How far identity maps miss along every edge whose ends have vectors, and their mean for each relation."""
+    _, edges = driver_graph(spark, sf_dir)
+    stalks = _stalks(spark, sf_dir)
+    known = stalks.select("id")
+    own = edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    step = F.array(F.struct(F.col("src").alias("source"), "relation", F.col("dst").alias("target"), "weight"))
+    rows = own.select(F.col("src").alias("anchor"), F.col("dst").alias("object_id"), "relation", step.alias("path"))
+    identity = {r: np.eye(64) for r in ("located_in", "part_of", "contradicts")}
+    return sheaf.residuals(rows, 64, stalks, VOCABULARY, identity).select(F.col("anchor").alias("src"), F.col("object_id").alias("dst"), "relation", F.round("sheaf", 6).alias("residual"))
+
+
 def learned_maps_study(spark, sf_dir):
     return evaluate.run_learned_maps(spark).withColumn("residual", F.round("residual", 6))
 
 
 def worlds_study(spark, sf_dir):
-    return evaluate.run_worlds(spark)
+    """The published comparison: 40 worlds by seed 0, all measures over all questions."""
+    out = evaluate.run_worlds(spark).where("kind is null")
+    return out.select("retriever", "n", *[F.round(c, 3).alias(c) for c in ("hits_at_1", "hits_at_k", "precision_at_k", "recall_at_k", "reciprocal_rank", "path_correct")])
+
+
+def alias_keys(spark, sf_dir):
+    """Names of parts with a qualifier, as titles may have one."""
+    title = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(X.alias_keys(title), "|").alias("keys"))
+
+
+def random_floor(spark, sf_dir):
+    """Five documents for each benchmark item in a seeded order."""
+    docs, items = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    found = retrieval.random_top(items, docs, 5).join(docs, "id", "left_semi")
+    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_distinct"), F.max("rank").alias("last"))
+
+
+def bm25_link(spark, sf_dir):
+    """The document that BM25 links each benchmark item to."""
+    return bm25_topk(spark, sf_dir).where("rank = 1").select("qid", "id")
+
+
+def projected_accuracy(spark, sf_dir):
+    """What the extraction recall leaves of paths of one to four hops."""
+    recall = evaluate.run_extraction(spark).first().recall
+    return metrics.projected_accuracy(spark, recall, 4).select("hops", F.round("accuracy", 3).alias("accuracy"))
 
 
 _QUERIES = (
     direct_forward, direct_inverse, contradictions, neighbors, path_reach_khop, path_chain, path_weighted, path_cheapest, blast_radius, explain_paths, rank_graph, query_relation,
     graph_export, upsert_edges, delete_cascade, extract_triples, extract_triples_chat, intent_parse, surface_link, tfidf_topk, bm25_topk, text_functions, term_statistics,
-    similar_exact_topk, lsh_topk, lsh_recall, ir_metrics, auc, nearest_rank_percentile, win_rate, rate_limit, http_metrics, extraction_study, sheaf_rank, topo_signature, procrustes,
-    learned_maps_study, worlds_study,
+    similar_exact_topk, lsh_codes, lsh_topk, lsh_recall, ir_metrics, auc, nearest_rank_percentile, win_rate, rate_limit, http_metrics, extraction_study, sheaf_rank, topo_signature, procrustes,
+    stalk_moments, sheaf_residual, learned_maps_study, worlds_study, alias_keys, random_floor, bm25_link, projected_accuracy,
 )
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | stored.queries()
 
 
 _GRAPH = """
@@ -330,6 +394,18 @@ qs AS (SELECT 'a' || n_nationkey AS qid, 'what prevents ' || n_name || '?' AS te
 names AS (SELECT n_name AS id FROM nation UNION ALL SELECT r_name FROM region)"""
 
 
+_VECTORS = """
+stalks AS (SELECT k || vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings CROSS JOIN (VALUES ('s:'), ('n:'), ('r:')) AS kinds(k)),
+cells AS (SELECT id, unnest(range(len(e))) AS j, unnest(e) AS v FROM stalks)"""
+_SKETCHES = """
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+planes AS (SELECT p, list(CASE WHEN md5('0:' || p || ':' || k)[1] < '8' THEN 1.0 ELSE -1.0 END ORDER BY k) AS w FROM (SELECT unnest(range(%d)) AS p) CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY p),
+bits AS (SELECT id, p, (list_dot_product(e, w) >= 0)::INT AS bit FROM v CROSS JOIN planes)"""
+_TOP = "row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM (SELECT a.id AS qid, b.id, round(exp(-list_distance(list_transform(a.e, lambda x: x / a.n), list_transform(b.e, lambda x: x / b.n))), 9) AS s"
+_NEAR_BY = f"near_by AS (SELECT a.id AS qid, b.id FROM bits a JOIN bits b USING (p) WHERE a.id % 100 = 0 GROUP BY ALL HAVING sum((a.bit <> b.bit)::INT) <= {SKETCH[1]}), ranked AS (SELECT qid, id, s, {_TOP} FROM near_by m JOIN v a ON a.id = m.qid JOIN v b ON b.id = m.id))"
+_EXACT = f"exact AS (SELECT qid, id, s, {_TOP} FROM v a CROSS JOIN v b WHERE a.id % 100 = 0))"
+
+
 def oracle_sql() -> dict[str, str]:
     g, rank5 = _GRAPH, "row_number() OVER (PARTITION BY qid ORDER BY score, object_id)"
     two = "SELECT src AS qid, dst AS object_id, 1 AS hops, relation, src, dst, '' AS r2, '' AS d2 FROM e WHERE src LIKE 's:%' UNION ALL SELECT a.src, b.dst, 2, a.relation, a.src, a.dst, b.relation, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 's:%'"
@@ -341,11 +417,11 @@ def oracle_sql() -> dict[str, str]:
         "path_reach_khop": f"{g}, h1 AS (SELECT src AS qid, dst FROM e WHERE relation = 'placed'), h2 AS (SELECT DISTINCT qid, e.dst FROM h1 JOIN e ON h1.dst = src AND relation = 'has_part'), h3 AS (SELECT DISTINCT qid, e.dst FROM h2 JOIN e ON h2.dst = src AND relation = 'supplied_by'), h4 AS (SELECT DISTINCT qid, e.dst FROM h3 JOIN e ON h3.dst = src AND relation = 'located_in') SELECT qid, dst AS object_id, h::DOUBLE AS geodesic, h AS hops FROM (SELECT *, 1 AS h FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3 UNION ALL SELECT *, 4 FROM h4)",
         "path_chain": f"{g} SELECT src AS qid, dst AS object_id, 1 AS hops, 'placed' AS relations, src AS via FROM e WHERE relation = 'placed' UNION ALL SELECT a.src, b.dst, 2, 'placed>has_part', min(b.src) FROM e a JOIN e b ON a.dst = b.src WHERE a.relation = 'placed' AND b.relation = 'has_part' GROUP BY a.src, b.dst",
         "path_weighted": f"{g}, h1 AS (SELECT src AS qid, dst, weight AS w FROM e WHERE relation = 'supplied_by'), h2 AS (SELECT qid, e.dst, min(w + weight) AS w FROM h1 JOIN e ON h1.dst = src AND relation = 'located_in' GROUP BY ALL), h3 AS (SELECT qid, e.dst, min(w + weight) AS w FROM h2 JOIN e ON h2.dst = src AND relation = 'part_of' GROUP BY ALL) SELECT qid, dst AS object_id, w AS geodesic, h AS hops FROM (SELECT *, 1 AS h FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3)",
-        "path_cheapest": f"{g} SELECT src AS qid, dst AS object_id, weight AS geodesic, 1 AS hops FROM e WHERE relation = 'supplied_by' UNION ALL SELECT a.src, b.dst, min(a.weight + b.weight), 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.relation = 'supplied_by' AND b.relation = 'located_in' GROUP BY a.src, b.dst",
+        "path_cheapest": f"{g} SELECT src AS qid, dst AS object_id, weight AS geodesic, 1 AS hops FROM e WHERE src LIKE 'p:%' UNION ALL SELECT a.src, b.dst, min(a.weight + b.weight), 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 'p:%' GROUP BY a.src, b.dst",
         "blast_radius": f"{g} SELECT DISTINCT a.src AS id, 4 AS hops FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src JOIN e d ON c.dst = d.src WHERE a.relation = 'placed' AND d.dst = 'n:0'",
         "explain_paths": f"{g}, two AS ({two}) SELECT qid, object_id, src || ' --[' || relation || ']--> ' || dst || CASE WHEN hops = 2 THEN ' --[' || r2 || ']--> ' || d2 ELSE '' END || '  (score=' || printf('%.4f', hops * 0.5) || ', hops=' || hops || ')' AS explain FROM two",
         "rank_graph": f"{g}, two AS ({two}) SELECT qid, rank, object_id, content, score, hops FROM (SELECT *, {rank5} AS rank FROM (SELECT qid, object_id, coalesce(content, '') AS content, (hops * 0.5)::DOUBLE AS score, hops FROM two LEFT JOIN x ON id = object_id)) WHERE rank <= 5",
-        "query_relation": f"{g} SELECT dst AS qid, least(5, count(*)) AS n, 0.0::DOUBLE AS score FROM e WHERE relation = 'located_in' GROUP BY dst",
+        "query_relation": f"{g} SELECT dst AS qid, src AS object_id, content, 0.0::DOUBLE AS score, weight AS geodesic, src || ' --[located_in]--> ' || dst || '  (score=0.0000, hops=1)' AS explain FROM e JOIN x ON id = src WHERE relation = 'located_in'",
         "graph_export": f"{g} SELECT id, content, false AS dangling FROM x WHERE id NOT LIKE 'r:%' UNION ALL SELECT DISTINCT dst, dst, true FROM e WHERE dst LIKE 'r:%'",
         "upsert_edges": f"{g} SELECT relation, weight, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM (SELECT src, relation, dst, weight FROM e WHERE src NOT LIKE 'n:%' UNION ALL SELECT 'n:' || n_nationkey, 'part_of', 'r:' || ((n_regionkey + 1) % 5), 2.0 FROM nation) GROUP BY relation, weight",
         "delete_cascade": f"{g}, gone AS (SELECT 's:' || s_suppkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0) SELECT relation, count(*) AS n FROM e WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone) GROUP BY relation UNION ALL SELECT 'objects', count(*) FROM x WHERE id NOT IN (FROM gone)",
@@ -365,4 +441,15 @@ def oracle_sql() -> dict[str, str]:
         "rate_limit": "SELECT event_id, user_id, k <= 1 AS allowed, CASE WHEN k <= 1 THEN 0 ELSE (60 - epoch(ts)::BIGINT % 60) END::INT AS retry_after FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS k FROM events)",
         "http_metrics": "SELECT event_type, event_type <> 'error' AS ok, count(*) AS n, round(avg(value), 6) AS mean_latency FROM events GROUP BY 1, 2",
         "extraction_study": "SELECT 13::BIGINT AS n_predicted, 18::BIGINT AS n_gold, 8::BIGINT AS n_exact, 0.615::DOUBLE AS precision, 0.444::DOUBLE AS recall, 0.516::DOUBLE AS f1, 1.0::DOUBLE AS relation_accuracy",
-    }
+        "lsh_codes": f"{_SKETCHES % 16} SELECT id, sum(bit << (15 - p))::BIGINT AS code FROM bits GROUP BY id",
+        "lsh_topk": f"{_SKETCHES % SKETCH[0]}, {_NEAR_BY} SELECT qid, id, rank, round(s, 6) AS similarity FROM ranked WHERE rank <= 5",
+        "lsh_recall": f"{_SKETCHES % SKETCH[0]}, {_NEAR_BY}, {_EXACT} SELECT count(*) AS n, count(r.id) AS found, round(count(r.id) / count(*), 9) AS recall, (SELECT round(count(*) / (SELECT count(DISTINCT qid) FROM exact) / (SELECT count(*) FROM embeddings), 9) FROM ranked) AS ranked_share FROM exact e LEFT JOIN ranked r ON r.qid = e.qid AND r.id = e.id AND r.rank <= 5 WHERE e.rank <= 5",
+        "topo_signature": f"{g}, both_ways AS (SELECT src AS id, dst AS o, weight FROM e UNION ALL SELECT dst, src, weight FROM e), near AS (SELECT id, o, min(weight) AS w FROM both_ways GROUP BY ALL), top AS (SELECT id, count(*) AS n, max(w) AS most FROM near GROUP BY id), b AS (SELECT id, least(31, floor(w / most * 32))::INT AS bin, count(*) AS c FROM near JOIN top USING (id) GROUP BY ALL) SELECT top.id, n + 1 AS n_nodes, string_agg(coalesce(c, 0)::VARCHAR, ',' ORDER BY r.bin) AS h0, 0.0::DOUBLE AS loops FROM top CROSS JOIN (SELECT unnest(range(32)) AS bin) r LEFT JOIN b ON b.id = top.id AND b.bin = r.bin GROUP BY top.id, n",
+        "stalk_moments": f"{g}, {_VECTORS} SELECT relation, i::INT AS i, j::INT AS j, round(sum(b.v * a.v), 6) AS m FROM e JOIN cells a ON a.id = src JOIN (SELECT id, j AS i, v FROM cells) b ON b.id = dst GROUP BY relation, i, j",
+        "sheaf_residual": f"{g}, {_VECTORS} SELECT src, dst, relation, round(list_distance(a.e, b.e) / sqrt(list_sum(list_transform(b.e, lambda x: x * x))), 6) AS residual FROM e JOIN stalks a ON a.id = src JOIN stalks b ON b.id = dst",
+        "worlds_study": "SELECT * FROM (VALUES ('random', 160::BIGINT, 0.006::DOUBLE, 0.019::DOUBLE, 0.004::DOUBLE, 0.019::DOUBLE, 0.010::DOUBLE, 0.0::DOUBLE), ('lexical', 160, 0.25, 0.75, 0.15, 0.75, 0.375, 0.0), ('engine-graph', 160, 1, 1, 0.2, 1, 1, 1), ('engine-topo', 160, 1, 1, 0.2, 1, 1, 1), ('engine-sheaf', 160, 1, 1, 0.2, 1, 1, 1), ('engine-reasoning', 160, 1, 1, 0.2, 1, 1, 1)) AS t(retriever, n, hits_at_1, hits_at_k, precision_at_k, recall_at_k, reciprocal_rank, path_correct)",
+        "alias_keys": f"SELECT p_partkey, {_NORMALISED % "(p_name || ' (' || p_brand || ')')"} || '|' || {_NORMALISED % 'p_name'} AS keys FROM part",
+        "random_floor": "SELECT item_id AS qid, 5::BIGINT AS n, 5::BIGINT AS n_distinct, 5 AS last FROM benchmark",
+        "bm25_link": f"WITH {_POSTED}, {_BM25} SELECT qid, id FROM bm WHERE rank = 1",
+        "projected_accuracy": "SELECT h AS hops, round(pow(8 / 18, h), 3) AS accuracy FROM (SELECT unnest(range(1, 5)) AS h)",
+    } | stored.oracle_sql()

@@ -6,10 +6,11 @@ import json
 import random
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailweave.cluster import unscoped, written
 from trailweave.functions.text import normalised, slug
 
 OBJECTS = "id string, content string, vector array<double>, meta string"
@@ -93,12 +94,21 @@ DEMOS = {
         ("steel_pipe", "galvanised steel pipe", (("contradicts", "iso_4422"),)), ("iso_4422", "ISO 4422 PVC pressure-pipe standard", ()),
     ),
     "deps": (
-        ("checkout_api", "payment checkout HTTP service", (("depends_on", "web_framework"), ("depends_on", "fast_json"))), ("auth_service", "authentication service", (("depends_on", "web_framework"), ("depends_on", "crypto_utils"))),
-        ("billing_worker", "async billing job runner", (("depends_on", "fast_json"), ("depends_on", "pdf_gen"))), ("docs_portal", "static documentation site", (("depends_on", "markdown_lib"),)),
-        ("web_framework", "HTTP web framework", (("depends_on", "http_core"),)), ("http_core", "low-level HTTP engine", (("depends_on", "tinyparse"),)), ("fast_json", "fast JSON serialiser", (("depends_on", "tinyparse"),)),
-        ("crypto_utils", "crypto helpers", (("depends_on", "bignum"),)), ("pdf_gen", "PDF generation library", (("depends_on", "image_lib"),)), ("tinyparse", "tiny tokeniser", (("affected_by", "CVE_2024_5001"),)),
-        ("image_lib", "image decoding library", (("affected_by", "CVE_2023_9002"),)), ("markdown_lib", "markdown renderer", ()), ("bignum", "big-integer arithmetic", ()),
-        ("CVE_2024_5001", "critical flaw in tinyparse", ()), ("CVE_2023_9002", "heap overflow in image_lib", ()),
+        ("checkout_api", "payment checkout HTTP service", (("depends_on", "web_framework"), ("depends_on", "fast_json"))),
+        ("auth_service", "authentication service", (("depends_on", "web_framework"), ("depends_on", "crypto_utils"))),
+        ("billing_worker", "async billing job runner", (("depends_on", "fast_json"), ("depends_on", "pdf_gen"))),
+        ("docs_portal", "static documentation site", (("depends_on", "markdown_lib"),)),
+        ("web_framework", "HTTP web framework", (("depends_on", "http_core"),)),
+        ("http_core", "low-level HTTP engine", (("depends_on", "tinyparse"),)),
+        ("fast_json", "fast JSON (de)serialiser", (("depends_on", "tinyparse"),)),
+        ("crypto_utils", "crypto helpers", (("depends_on", "bignum"),)),
+        ("pdf_gen", "PDF generation library", (("depends_on", "image_lib"),)),
+        ("tinyparse", "tiny tokeniser/parser", (("affected_by", "CVE_2024_5001"),)),
+        ("image_lib", "image decoding library", (("affected_by", "CVE_2023_9002"),)),
+        ("markdown_lib", "markdown renderer (no known CVE)", ()),
+        ("bignum", "big-integer arithmetic (no known CVE)", ()),
+        ("CVE_2024_5001", "critical RCE in tinyparse parser", ()),
+        ("CVE_2023_9002", "high-severity heap overflow in image_lib", ()),
     ),
 }
 
@@ -134,31 +144,57 @@ def gold_sentences(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(texts, "doc bigint, text string"), spark.createDataFrame(gold, "doc bigint, subject string, relation string, object string, ord bigint")
 
 
-def synthetic_worlds(spark: SparkSession, n: int) -> tuple[DataFrame, DataFrame]:
-    """(documents, queries) of ``n`` independent worlds of six objects and four labelled questions.
+# The names of synthetic worlds, which published figures depend on, in their order.
+WORLDS = (
+    "amber azure basalt bronze cedar cobalt copper coral crimson cyan dusty ebony emerald flax frost garnet golden granite hazel indigo ivory jade khaki lilac linen maroon mauve mint ochre olive "
+    "onyx opal pearl pewter plum quartz raven russet saffron sage sand scarlet sepia sienna silver slate steel tan teal topaz umber velvet verdant violet walnut willow amethyst beige blush brass "
+    "carmine chartreuse denim fuchsia gilded glacier heather ice lemon magenta marble mocha navy peach rose ruby rust sky spruce tawny wheat"
+).split()
+# The objects of a world (content, edges), and the questions about it (mark, kind, text, answer, target, path).
+WORLD_OBJECTS = {
+    "shield": ("the {w} shield is a {w} protective device people carry", (("prevents", "storm"),)),
+    "storm": ("the {w} storm is a {w} hazardous condition in the region", (("causes", "ruin"),)),
+    "ruin": ("the {w} ruin is {w} structural harm left behind", ()),
+    "spark": ("the {w} spark is a {w} originating trigger event", (("causes", "storm"),)),
+    "cure": ("the {w} cure is a {w} remedy applied as a safeguard", (("prevents", "ruin"),)),
+    "calm": ("the {w} calm is a {w} tranquil opposite state of affairs", (("contradicts", "storm"),)),
+}
+WORLD_QUESTIONS = (
+    ("sh", "single_hop_inverse", "what prevents {w}_storm?", "shield", "storm", None, ()),
+    ("fw", "single_hop", "what does {w}_shield prevent?", "storm", "shield", None, ()),
+    ("mh", "multi_hop", "is {w}_shield connected to {w}_ruin?", "ruin", "shield", "ruin", ("prevents", "causes")),
+    ("ct", "contradiction", "what contradicts {w}_storm?", "calm", "storm", None, ()),
+)
+
+
+def synthetic_worlds(spark: SparkSession, n: int = 40, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(documents, queries) of ``n`` worlds of six objects and four labelled questions each.
 
-    Made by the executors from a range, so ``n`` has no bound. Worlds differ in name only.
+    The seed draws the worlds' names and the order of the questions (``place``), as published
+    figures have them; there are as many worlds as names.
     """
-    worlds = spark.range(n).select(F.format_string("w%06d", "id").alias("w"))
-    roles = {
-        "shield": ("a guard that holds off the %s storm", (("prevents", "storm"),)), "storm": ("violent %s weather that wrecks things", (("causes", "ruin"),)),
-        "ruin": ("what is left after the %s weather", ()), "spark": ("the first flash of the %s storm", (("causes", "storm"),)),
-        "cure": ("a remedy for %s wreckage", (("prevents", "ruin"),)), "calm": ("still and %s air", (("contradicts", "storm"),)),
-    }
-    name = lambda role: F.concat(F.col("w"), F.lit(f"_{role}"))
-    none = F.array().cast("array<struct<relation:string,target:string,weight:double,meta:string>>")
-    edge = lambda r, t: F.struct(F.lit(r).alias("relation"), name(t).alias("target"), F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("meta"))
-    docs = worlds.select(F.inline(F.array(*[F.struct(name(role).alias("_id"), F.format_string(text, "w").alias("content"), (F.array(*[edge(*e) for e in edges]) if edges else none).alias("edges")) for role, (text, edges) in roles.items()])))
-    docs = docs.select("_id", F.lit(None).cast("string").alias("id"), "content", F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("string").alias("meta"), "edges")
-    ask = lambda kind, text, roles_, answer, target, path: F.struct(
-        F.concat("w", F.lit(f"-{kind}")).alias("qid"), F.lit(kind).alias("kind"), F.format_string(text, *[name(r) for r in roles_]).alias("text"), F.array(name(answer)).alias("answers"),
-        name(roles_[0]).alias("anchor"), (name(target) if target else F.lit(None).cast("string")).alias("target"), F.array(*map(F.lit, path)).cast("array<string>").alias("gold_path"),
-    )
-    queries = worlds.select(F.inline(F.array(
-        ask("single_hop_inverse", "what prevents %s?", ["storm"], "shield", None, ()), ask("single_hop", "what does %s prevent?", ["shield"], "storm", None, ()),
-        ask("multi_hop", "is %s connected to %s?", ["shield", "ruin"], "ruin", "ruin", ("prevents", "causes")), ask("contradiction", "what contradicts %s?", ["storm"], "calm", None, ()),
-    )))
-    return docs, queries
+    if not 0 <= n <= len(WORLDS):
+        raise ValueError(f"0 to {len(WORLDS)} worlds have names")
+    draw = random.Random(seed)
+    names = draw.sample(WORLDS, n)
+    rows = [{"_id": f"{w}_{role}", "content": text.format(w=w), "edges": [(r, f"{w}_{to}") for r, to in edges]} for w in names for role, (text, edges) in WORLD_OBJECTS.items()]
+    asked = [
+        (f"{w}-{mark}", kind, text.format(w=w), [f"{w}_{answer}"], f"{w}_{anchor}", target and f"{w}_{target}", list(path))
+        for w in names for mark, kind, text, answer, anchor, target, path in WORLD_QUESTIONS
+    ]
+    draw.shuffle(asked)
+    schema = "qid string, kind string, text string, answers array<string>, anchor string, target string, gold_path array<string>, place int"
+    return documents(spark, rows), spark.createDataFrame([(*q, k) for k, q in enumerate(asked)], schema)
+
+
+def shuffled_top(names: Sequence[str], queries: int, k: int, seed: int) -> list[list[str]]:
+    """For each of ``queries`` the first ``k`` names of one more shuffle by one seeded generator."""
+    draw, out = random.Random(seed), []
+    for _ in range(queries):
+        own = list(names)
+        draw.shuffle(own)
+        out.append(own[:k])
+    return out
 
 
 def random_graph(spark: SparkSession, n: int, degree: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -171,15 +207,8 @@ def random_graph(spark: SparkSession, n: int, degree: int = 4, seed: int = 0) ->
     return objects, e.groupBy("src", "relation", "dst").agg(F.first("weight").alias("weight"), F.first("meta").alias("meta"), F.min("ord").alias("ord"))
 
 
-def seeded_corpus_order(n: int, seed: int) -> list[int]:
-    """A seeded order of small lists on the driver."""
-    out = list(range(n))
-    random.Random(seed).shuffle(out)
-    return out
-
-
 def read_examples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Multi-hop questions from one JSON array: ``qid, question, answer, qtype, evidences, context``.
+    """Multi-hop questions from one JSON array: ``qid, place, question, answer, qtype, evidences, context``.
 
     Rows without evidences are dropped before ``limit`` counts. Inner tuples are JSON arrays of
     mixed types, so they are read as variants. Sentences of a paragraph are joined by a space.
@@ -189,17 +218,26 @@ def read_examples(spark: SparkSession, path: str, limit: int | None = None) -> D
     get = lambda p, kind: F.try_variant_get("r", p, kind)
     three = F.transform(get("$.evidences", "array<array<string>>"), lambda t: F.struct(F.get(t, F.lit(0)).alias("s"), F.get(t, F.lit(1)).alias("r"), F.get(t, F.lit(2)).alias("o")))
     para = F.transform(get("$.context", "array<variant>"), lambda t: F.struct(F.try_variant_get(t, "$[0]", "string").alias("title"), F.array_join(F.try_variant_get(t, "$[1]", "array<string>"), " ").alias("text")))
-    out = rows.select("pos", F.coalesce(get("$._id", "string"), F.col("pos").cast("string")).alias("qid"), get("$.question", "string").alias("question"), get("$.answer", "string").alias("answer"), F.coalesce(get("$.type", "string"), F.lit("unknown")).alias("qtype"), three.alias("evidences"), F.coalesce(para, F.expr("array()").cast("array<struct<title:string,text:string>>")).alias("context")).where(F.size("evidences") > 0)
-    return (out if limit is None else out.orderBy("pos").limit(limit)).drop("pos")
+    out = rows.select(F.coalesce(get("$._id", "string"), F.col("pos").cast("string")).alias("qid"), F.col("pos").alias("place"), get("$.question", "string").alias("question"), get("$.answer", "string").alias("answer"), F.coalesce(get("$.type", "string"), F.lit("unknown")).alias("qtype"), three.alias("evidences"), F.coalesce(para, F.expr("array()").cast("array<struct<title:string,text:string>>")).alias("context")).where(F.size("evidences") > 0)
+    return out if limit is None else out.orderBy("place").limit(limit)
+
+
+def first_of_longest(examples: DataFrame, names: Column) -> DataFrame:
+    """``id, text``: the longest paragraph ``c`` under each of its ``names``, of equals the first."""
+    place = F.col("place") if "place" in examples.columns else F.col("qid")
+    para = examples.select(place.alias("place"), F.posexplode("context").alias("at", "c")).where("c.text <> ''")
+    named = para.select(F.explode(names).alias("id"), F.col("c.text").alias("text"), "place", "at")
+    return named.groupBy("id").agg(F.min_by("text", F.struct(-F.length("text"), F.col("place"), F.col("at"))).alias("text"))
 
 
 def examples_graph(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(objects, edges) of all examples together: entities by normalised name, the longest paragraph as content.
 
-    An entity without a paragraph has its name as content. Ties in length: the least text.
+    An entity without a paragraph has its name as content. Of paragraphs as long as each other the
+    first stands: by the example's ``place`` (its qid, where there is none), then the paragraph's.
     """
-    texts = examples.select(F.explode("context").alias("c")).where("c.text <> ''").select(normalised(F.col("c.title")).alias("id"), F.col("c.text").alias("text"))
-    longest = texts.groupBy("id").agg(F.min_by("text", F.struct(-F.length("text"), F.col("text"))).alias("content"))
+    texts = first_of_longest(examples, F.array(normalised(F.col("c.title"))))
+    longest = texts.withColumnRenamed("text", "content")
     triples = examples.select("qid", F.posexplode("evidences").alias("pos", "t")).select("qid", "pos", normalised(F.col("t.s")).alias("src"), slug(F.col("t.r")).alias("relation"), normalised(F.col("t.o")).alias("dst"))
     edges = triples.groupBy("src", "relation", "dst").agg(F.min(F.struct("qid", "pos")).alias("o"))
     edges = edges.select("src", "relation", "dst", F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("meta"), F.pmod(F.xxhash64("o.qid", "o.pos"), F.lit(1 << 40)).alias("ord"))
@@ -208,7 +246,7 @@ def examples_graph(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return objects, edges
 
 
-def driver_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def star_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(objects, edges) over the star schema: c placed o has_part p supplied_by s located_in n part_of r."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
@@ -228,3 +266,19 @@ def driver_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     objects = obj("customer", "c", "c_custkey", "c_name").unionByName(obj("part", "p", "p_partkey", "p_name")).unionByName(obj("supplier", "s", "s_suppkey", "s_name")).unionByName(obj("nation", "n", "n_nationkey", "n_name")).unionByName(obj("region", "r", "r_regionkey", "r_name")).unionByName(t("orders").select(key("o", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("content")))
     # Out-edges of a node go by target: their order only breaks ties.
     return objects, edges.withColumn("ord", F.pmod(F.xxhash64("relation", "dst"), F.lit(1 << 40)))
+
+
+_LOADED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def driver_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``star_graph`` with its edges written to the shared folder, once for each application and folder.
+
+    Edges lie by source, so a hop reads them and doesn't derive them again; they go with the application.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        objects, edges = star_graph(spark, sf_dir)
+        with unscoped():
+            _LOADED[key] = objects, written(edges.repartition("src").sortWithinPartitions("src"), "edges")
+    return _LOADED[key]

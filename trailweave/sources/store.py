@@ -9,9 +9,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.cluster import shared_dir
+
 FORMAT = 1
 OBJECTS = "id string, content string, vector array<double>, meta string"
 EDGES = "src string, relation string, dst string, weight double, meta string, ord bigint"
+SIGNATURES = "id string, topo_signature array<double>, n_nodes long"
 CHANGES = "seq bigint, op string, id string, content string, vector array<double>, meta string, edges array<struct<relation:string,dst:string,weight:double,meta:string,ord:bigint>>"
 
 
@@ -55,9 +58,12 @@ class Files:
         self.fs.delete(self._path(name), True)
 
 
-def merged_edges(old: DataFrame, replaced: DataFrame, new: DataFrame) -> DataFrame:
-    """Old edges but those out of ``replaced`` ids, and the new ones; the last of each (src, relation, dst) stays."""
-    kept = old.join(replaced.select(F.col("id").alias("src")), "src", "left_anti").withColumn("_n", F.lit(0))
+def merged_edges(old: DataFrame, replaced: DataFrame, new: DataFrame, parallel: bool = False) -> DataFrame:
+    """Old edges but those out of ``replaced`` ids, and the new ones; the last of each (src, relation, dst) stays, or all if ``parallel``."""
+    kept = old.join(replaced.select(F.col("id").alias("src")), "src", "left_anti")
+    if parallel:
+        return kept.unionByName(new.select(kept.columns))
+    kept = kept.withColumn("_n", F.lit(0))
     both = kept.unionByName(new.withColumn("_n", F.lit(1)))
     last = both.groupBy("src", "relation", "dst").agg(F.max_by(F.struct("weight", "meta"), F.struct("_n", "ord")).alias("v"), F.min("ord").alias("ord"))
     return last.select("src", "relation", "dst", "v.weight", "v.meta", "ord")
@@ -70,11 +76,12 @@ class GraphStore:
     created by one rename, so a batch is there as a whole or not. Readers open a version and never
     see a later one; writers add one. ``compact`` folds changes into a snapshot. Upserts replace
     an object's outgoing edges and keep incoming ones; deletes take the object and all its edges
-    for good; targets that were never inserted may be walked through but aren't objects.
+    for good; targets that were never inserted may be walked through but aren't objects. A store
+    made with ``parallel`` keeps edges of one (src, relation, dst) side by side.
     """
 
-    def __init__(self, spark: SparkSession, path: str, read_only: bool = False, compact_every: int = 20):
-        self.spark, self.path, self.read_only, self.compact_every = spark, path.rstrip("/"), read_only, compact_every
+    def __init__(self, spark: SparkSession, path: str, read_only: bool = False, compact_every: int = 20, parallel: bool = False):
+        self.spark, self.path, self.read_only, self.compact_every, self.parallel = spark, path.rstrip("/"), read_only, compact_every, parallel
         self.files = Files(spark, self.path)
         if not self.files.exists("versions"):
             if read_only:
@@ -90,6 +97,7 @@ class GraphStore:
         versions = [int(n.removesuffix(".json")) for n in self.files.names("versions") if n.endswith(".json") and n.removesuffix(".json").isdigit()]
         self.version = max(versions)
         self.manifest = self._manifest(self.version)
+        self.parallel = self.manifest.get("parallel", False)
         self._view = None
         return self.version
 
@@ -111,7 +119,7 @@ class GraphStore:
         if self._view is None:
             objects, edges = self._read(f"{self.manifest['snapshot']}/objects", OBJECTS), self._read(f"{self.manifest['snapshot']}/edges", EDGES)
             if self.manifest["changes"]:
-                objects, edges = replayed(objects, edges, self.changes())
+                objects, edges = replayed(objects, edges, self.changes(), self.parallel)
             self._view = objects, edges
         return self._view
 
@@ -212,32 +220,80 @@ class GraphStore:
         both.write.parquet(f"{self.path}/{name}")
         version = self.version + 1
         manifest = self.manifest | {"version": version, "changes": [*self.manifest["changes"], name]}
+        self._commit_manifest(manifest, name)
+        if len(self.manifest["changes"]) >= self.compact_every:
+            self.compact()
+
+    def _commit_manifest(self, manifest: dict, name: str) -> None:
+        version = manifest["version"]
         try:
             self.files.create(f"versions/{version}.json", json.dumps(manifest))
         except FileExistsError:
             self.files.delete(name)
             raise RuntimeError("another writer committed first; refresh and try again") from None
         self.refresh()
-        if len(self.manifest["changes"]) >= self.compact_every:
-            self.compact()
 
-    def _snapshot_commit(self, objects: DataFrame, edges: DataFrame, version: int) -> None:
+    def _snapshot_commit(self, objects: DataFrame, edges: DataFrame, version: int, signatures: dict | None = None) -> None:
         name = f"snapshots/{uuid.uuid4().hex}"
         objects.write.parquet(f"{self.path}/{name}/objects")
         edges.repartition("src").sortWithinPartitions("src", "ord").write.parquet(f"{self.path}/{name}/edges")
-        self.files.create(f"versions/{version}.json", json.dumps({"format": FORMAT, "version": version, "snapshot": name, "changes": []}))
+        self.files.create(f"versions/{version}.json", json.dumps({"format": FORMAT, "version": version, "snapshot": name, "changes": [], "parallel": self.parallel} | ({"signatures": signatures} if signatures else {})))
 
     def compact(self) -> int:
         """Folds the changes into a snapshot under a new version. Files of older versions stay until ``vacuum``."""
         self._check(None)
-        self._snapshot_commit(self.objects, self.edges, self.version + 1)
+        known = self.manifest.get("signatures")
+        if known:  # changes that they don't cover yet go on counting as such
+            known = known | {"stale": [*known["stale"], *self.manifest["changes"][known["changes"] :]], "changes": 0}
+        self._snapshot_commit(self.objects, self.edges, self.version + 1, known)
         return self.refresh()
 
+    def signatures(self) -> DataFrame:
+        """``id, topo_signature, n_nodes`` as last indexed; empty before that."""
+        known = self.manifest.get("signatures")
+        return self._read(known["name"], SIGNATURES) if known else self._frame([], SIGNATURES)
+
+    def reindex(self, hops: int = 2) -> int:
+        """Brings the signatures up to date and commits them; returns how many were computed.
+
+        After changes only ego nets are computed anew that hold a changed object or a neighbour
+        that it had or has; objects without neighbours have none.
+        """
+        from trailweave.operators import topology
+
+        self._check(None)
+        known = self.manifest.get("signatures")
+        objects, edges, old = self.objects, self.edges, self.signatures()
+        if known and known["hops"] == hops:
+            names = [*known["stale"], *self.manifest["changes"][known["changes"] :]]
+            if not names:
+                return 0
+            changed = self.spark.read.schema(CHANGES).parquet(*[f"{self.path}/{n}" for n in names])
+            before = self._read(known["edges"], EDGES)
+            ids = changed.select("id").distinct()
+            both = before.unionByName(edges)
+            near = ids.unionByName(both.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))).unionByName(both.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")))
+            stale = topology.affected(near.distinct(), both, hops)
+            fresh = topology.signatures(objects.join(stale, "id", "left_semi"), edges, hops)
+            kept = old.join(stale, "id", "left_anti").join(objects.select("id"), "id", "left_semi")
+        else:
+            fresh, kept = topology.signatures(objects, edges, hops), old.where("false")
+        name = f"signatures/{uuid.uuid4().hex}"
+        fresh = fresh.select("id", "topo_signature", "n_nodes")
+        fresh.write.parquet(f"{self.path}/{name}/new")
+        fresh = self._read(f"{name}/new", SIGNATURES)
+        kept.unionByName(fresh).write.parquet(f"{self.path}/{name}/all")
+        edges.write.parquet(f"{self.path}/{name}/edges")
+        entry = {"name": f"{name}/all", "edges": f"{name}/edges", "hops": hops, "changes": len(self.manifest["changes"]), "stale": []}
+        self._commit_manifest(self.manifest | {"version": self.version + 1, "signatures": entry}, name)
+        return fresh.count()
+
     def vacuum(self) -> None:
         """Deletes what the current version doesn't use."""
         self._check(None)
-        used = {self.manifest["snapshot"], *self.manifest["changes"]}
-        for top in ("snapshots", "changes"):
+        known = self.manifest.get("signatures") or {"name": "", "stale": []}
+        used = {self.manifest["snapshot"], *self.manifest["changes"], *known["stale"], known["name"].removesuffix("/all")}
+        for top in ("snapshots", "changes", "signatures"):
             for n in self.files.names(top):
                 if f"{top}/{n}" not in used:
                     self.files.delete(f"{top}/{n}")
@@ -251,7 +307,7 @@ class GraphStore:
         if target.exists("versions"):
             raise FileExistsError(path)
         copy = object.__new__(GraphStore)
-        copy.spark, copy.path, copy.files, copy.read_only, copy.compact_every = self.spark, path.rstrip("/"), target, False, self.compact_every
+        copy.spark, copy.path, copy.files, copy.read_only, copy.compact_every, copy.parallel = self.spark, path.rstrip("/"), target, False, self.compact_every, self.parallel
         copy._snapshot_commit(self.objects, self.edges, self.version)
         copy.refresh()
         return copy
@@ -298,7 +354,18 @@ def full_edges(df: DataFrame) -> DataFrame:
     return df.select("src", "relation", "dst", *[(F.coalesce(F.col(c), v) if c in df.columns and c != "meta" else F.col(c) if c in df.columns else v).alias(c) for c, v in own.items()])
 
 
-def replayed(objects: DataFrame, edges: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def open_store(spark: SparkSession, kind: str, path: str | None = None, **options) -> GraphStore:
+    """A store by kind: "durable" (one edge of a key) or "multi" (parallel edges) in ``path``, or "memory", which goes with the application."""
+    if kind == "memory":
+        path = f"{shared_dir(spark)}/trailweave/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+    elif kind not in ("durable", "multi"):
+        raise ValueError("kind is memory, durable or multi")
+    if path is None:
+        raise ValueError(f"a {kind} store needs a path")
+    return GraphStore(spark, path, parallel=kind == "multi", **options)
+
+
+def replayed(objects: DataFrame, edges: DataFrame, changes: DataFrame, parallel: bool = False) -> tuple[DataFrame, DataFrame]:
     """Tables after a batch of changes, of which the last for each id counts.
 
     A delete also takes the edges into the object, those that the snapshot or earlier changes
@@ -311,6 +378,6 @@ def replayed(objects: DataFrame, edges: DataFrame, changes: DataFrame) -> tuple[
     kept = objects.join(touched, "id", "left_anti").unionByName(put.select("id", "content", "vector", "meta"))
     old = edges.join(touched.select(F.col("id").alias("src")), "src", "left_anti").select("*", F.lit(-1).cast("bigint").alias("seq"))
     new = put.where("edges is not null").select(F.col("id").alias("src"), "seq", F.inline("edges")).select("src", "relation", "dst", "weight", "meta", "ord", "seq")
-    last_edge = new.groupBy("src", "relation", "dst").agg(F.max_by(F.struct("weight", "meta"), F.struct("seq", "ord")).alias("v"), F.min("ord").alias("ord"), F.max("seq").alias("seq")).select("src", "relation", "dst", "v.weight", "v.meta", "ord", "seq")
+    last_edge = new if parallel else new.groupBy("src", "relation", "dst").agg(F.max_by(F.struct("weight", "meta"), F.struct("seq", "ord")).alias("v"), F.min("ord").alias("ord"), F.max("seq").alias("seq")).select("src", "relation", "dst", "v.weight", "v.meta", "ord", "seq")
     every = old.unionByName(last_edge).join(gone, "dst", "left").where("gone is null or seq > gone")
     return kept, every.select("src", "relation", "dst", "weight", "meta", "ord")
