@@ -331,3 +331,34 @@ def test_training_rows_are_bounded_whatever_repeats(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id bigint, quality int")
     rows = quality.training_rows(docs, labels).collect()
     assert len(rows) == len({r.doc_id for r in rows}) <= 5 and all(r.text == min(f"text {k}" for k in range(r.doc_id, 200, 5)) for r in rows)
+
+
+def test_embedding_huge_and_tiny_components(spark):
+    v = np.random.default_rng(1).standard_normal((6, 5))
+    rows = [(k, (v[k // 2] * s).tolist(), 1) for k, s in enumerate((1e200, 1.0, 1e-200, 3.0, 1e307, 1e-307))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    assert [r.n_links for r in embedding_dedup.near_duplicates(table).orderBy("vec_id").collect()] == [1] * 6
+
+
+def test_clusters_far_apart_never_meet(spark):
+    """768 dimensions, 40 clusters and some noise in one label: all links found, under a fifth of the pairs compared."""
+    r = np.random.default_rng(2)
+    centre = r.standard_normal((40, 768))
+    v = np.concatenate([centre.repeat(50, axis=0) + 0.3 * r.standard_normal((2000, 768)), r.standard_normal((100, 768))])
+    v[::50] = v[1::50] + 0.02 * r.standard_normal(v[1::50].shape)
+    rows = [(k, x.tolist(), 1) for k, x in enumerate(v)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_duplicates(table, tile=64).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.98).sum(axis=1) - 1
+    assert want.sum() >= 80 and got == dict(enumerate(want.tolist()))
+    nodes = table.select(F.unhex(F.lpad(F.hex("vec_id"), 32, "0")).alias("node"), F.lit(1).cast("long").alias("n"), F.lit("1").alias("label"), "embedding")
+    from trailweave.cluster import written
+
+    tiled = written(embedding_dedup.tiles(nodes, 64), "tiled")
+    size = {x.tile: x.size for x in tiled.where("size is not null").select("tile", "size").collect()}
+    assert sum(size.values()) == len(v)
+    pairs = embedding_dedup.near_tiles(tiled, block=16).collect()
+    assert len({(x.a, x.b) for x in pairs}) == len(pairs)
+    compared = sum(size[x.a] * (size[x.b] if x.a != x.b else (size[x.b] - 1) / 2) for x in pairs)
+    assert compared / (len(v) * (len(v) - 1) / 2) < 0.2

@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 import pytest
-from brute import base_spans, contamination, simhash
+from brute import base_spans, contamination, term_spans
+from test_near_copies import groups
 
 import __spark_entry__ as entry
 
@@ -23,13 +24,22 @@ def test_stages(spark, sf_dir, tmp_path):
     assert all(raw[d] == r for d, r in good.items())
     judged = [(d in good) == (q == 1) for d, q in labels.items()]
     assert sum(judged) / len(judged) > 0.95
-    assert set(single) == {d for d, _, _, own in simhash([(d, r.text) for d, r in good.items()]) if own} and all(good[d] == r for d, r in single.items())
+    assert set(single) == {d for d, c in groups([(d, r.text) for d, r in good.items()]).items() if c == d} and all(good[d] == r for d, r in single.items())
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     assert set(clean) == {x[0] for x in contamination([(d, r.text) for d, r in single.items()], items) if not x[5]} and all(single[d] == r for d, r in clean.items())
     assert set(private) == set(clean)
+    rows = sorted((d, r.text) for d, r in clean.items())
+    spans = {d: sorted([*((a, b, kind) for kind, a, b in base_spans(t)), *((a, b, "term") for a, b in own)]) for (d, t), own in zip(rows, term_spans(rows), strict=True)}
+    for d, text in rows:
+        masked, at = [], 0
+        for a, b, kind in spans[d]:
+            if a >= at:
+                masked += [text[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        assert private[d].text == (text if text is None else "".join([*masked, text[at:]])), d
     for d, r in private.items():
         assert not base_spans(r.text)
-        if not base_spans(clean[d].text):
+        if not spans[d]:
             assert r == clean[d]
     import public_tokenizers as P
 
@@ -54,3 +64,24 @@ def test_stages_on_empty_tables(spark, sf_dir, tmp_path, name):
         stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
         docs = spark.read.parquet(str(tmp_path / f"out{k}"))
     assert docs.count() <= 40
+
+
+def test_repeated_and_null_ids(spark, sf_dir, tmp_path):
+    """Different texts of one id and rows without an id stay; equal rows are one."""
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' and length(text) between 300 and 3000").orderBy("doc_id").limit(12)
+    a, b = own.where("doc_id % 2 = 0").withColumn("doc_id", own.doc_id * 0 + 1), own.where("doc_id % 2 = 1").withColumn("doc_id", own.doc_id * 0).replace(0, None, ["doc_id"])
+    docs = a.unionByName(a).unionByName(b).unionByName(own.withColumn("text", own.text.substr(1, 0)).limit(1).replace("", None, ["text"]))
+    kept = corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()
+    out = spark.createDataFrame(kept, docs.schema)
+    single = corpus_pipeline.dedup_stage(spark, out, str(tmp_path)).collect()
+    key = lambda rows: sorted((repr(r.doc_id), repr(r.text)) for r in rows)
+    with_id = {(r.doc_id, r.text) for r in kept if r.doc_id is not None}
+    of = groups(list(enumerate(t for _, t in sorted(with_id, key=repr))))
+    assert len([r for r in single if r.doc_id is not None]) == len(set(of.values())) and {k for k in key(single)} <= {k for k in key(kept)}
+    assert key(r for r in single if r.doc_id is None) == key(r for r in kept if r.doc_id is None)
+    rows = spark.createDataFrame(single, docs.schema)
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        after = stage(spark, rows, str(tmp_path)).collect()
+        assert len(after) <= len(single) and {"doc_id", "text"} <= set(after[0].asDict())

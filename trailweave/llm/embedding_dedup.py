@@ -6,13 +6,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.cluster import shipped, written
+from trailweave.cluster import scratch, shipped, written
 from trailweave.operators.components import connected_components
 
 THRESHOLD, TILE = 0.98, 1024
+#: Vectors that others are brought together by, and how far from its first a cluster's may lie.
+PIVOTS, REACH = 256, 0.7
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,79 +61,181 @@ def _local_roots(n: int, pairs: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _directions(dim: int) -> np.ndarray:
-    """Two orthonormal directions, fixed for each dimension."""
-    q, _ = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, min(2, dim))))
-    return q if dim > 1 else np.array([[1.0, 0.0]])
+def _rows(batch, name: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column in a row, and where each list starts."""
+    x = batch.column(name)
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    sizes = pa.compute.list_value_length(x).to_numpy()
+    return x.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def cells(vectors: DataFrame, threshold: float) -> DataFrame:
-    """``node, label, dim, b1, b2``: each unit vector's place on two fixed directions, in steps of
-    the largest distance that the threshold allows. Linked vectors lie in the same or touching cells."""
-    shipped(vectors.sparkSession)
-    width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to 1/2 or more and under 1: no product overflows, none is rounded."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def in_cells(vectors: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """``node, n, label, dim, cell, embedding``: each vector, ``scaled``, with the nearest of a few vectors of its length.
+
+    These are one in eight, at most ``pivots``, the first by a hash over the whole table. Cells only bring
+    vectors together that may be close; nothing depends on how well they do.
+    """
+    some = vectors.orderBy(F.xxhash64("node"), "node").limit(max(1, min(pivots, vectors.count() // 8))).select("embedding").toArrow()
+    by_dim: dict[int, list] = {}
+    for x in some.column("embedding").to_pylist():
+        by_dim.setdefault(len(x), []).append(x)
+    held = vectors.sparkSession.sparkContext.broadcast({d: _units(scaled(np.array(x, float))) for d, x in by_dim.items()})
 
     def placed(batches):
         for batch in batches:
-            out = np.zeros((batch.num_rows, 2), np.int64)
-            x = batch.column("embedding")
-            sizes = np.diff(x.offsets.to_numpy())
-            flat, start = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
+            flat, start = _rows(batch)
+            sizes, cell, out = np.diff(start), np.full(batch.num_rows, -1, np.int64), flat.astype(np.float64)
             for dim in np.unique(sizes):
-                at = np.nonzero(sizes == dim)[0]
-                v = flat[start[at][:, None] + np.arange(dim)]
-                v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                out[at] = np.floor(v @ _directions(int(dim)) / width)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), batch.column("label"), pa.array(sizes.astype(np.int64)), pa.array(out[:, 0]), pa.array(out[:, 1]), x], names=["node", "n", "label", "dim", "b1", "b2", "embedding"])
+                at = np.flatnonzero(sizes == dim)
+                index = start[at][:, None] + np.arange(dim)
+                v = scaled(out[index])
+                out[index] = v
+                if int(dim) in held.value:
+                    cell[at] = (v @ held.value[int(dim)].T).argmax(axis=1)
+            embedding = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), batch.column("label"), pa.array(sizes.astype(np.int64)), pa.array(cell), embedding], names=["node", "n", "label", "dim", "cell", "embedding"])
 
-    return vectors.select("node", "n", "label", "embedding").mapInArrow(placed, "node bigint, n bigint, label string, dim bigint, b1 bigint, b2 bigint, embedding array<double>")
+    return vectors.select("node", "n", "label", "embedding").mapInArrow(placed, "node binary, n bigint, label string, dim bigint, cell bigint, embedding array<double>")
+
+
+def clusters(unit: np.ndarray, tile: int, reach: float = REACH, least: int = 2, misses: int = 64) -> list[np.ndarray]:
+    """Rows of unit vectors in tiles of at most ``tile``.
+
+    A vector and all that are left within ``reach`` of it are a cluster, if there are ``least``;
+    after ``misses`` vectors without one, and for those, tiles take what is left as it comes.
+    """
+    near, left, rest, out = 1 - reach * reach / 2, np.arange(len(unit)), [], []
+    single = unit.astype(np.float32)
+    while len(left) and len(rest) < misses:
+        close = single[left] @ single[left[0]] >= near
+        close[0] = True
+        if close.sum() >= least:
+            out.append(left[close])
+            left = left[~close]
+        else:
+            rest.append(left[0])
+            left = left[1:]
+    out.append(np.concatenate([np.array(rest, np.int64), left]))
+    return [x[k : k + tile] for x in out for k in range(0, len(x), tile)]
+
+
+def tiles(vectors: DataFrame, tile: int = TILE, pivots: int = PIVOTS) -> DataFrame:
+    """``tile, label, dim, node, n, embedding, size, centre, radius``; the last three in one row of each tile.
+
+    Cells of a label are folded until they hold about a tile. Vectors of one label, length and
+    cell go in chunks of about four tiles, so no group is larger; each chunk is cut into ``clusters``. All vectors of a tile lie within radius of its centre.
+    """
+    shipped(vectors.sparkSession)
+    rows = written(in_cells(vectors, pivots), "cells")
+    key = ["label", "dim", "cell"]
+    folds = rows.groupBy("label", "dim").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / tile)).alias("folds"))
+    rows = rows.join(folds, ["label", "dim"]).withColumn("cell", F.pmod("cell", "folds")).drop("folds")
+    chunks = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / (4 * tile)).cast("long").alias("chunks"))
+    dealt = rows.join(chunks, key).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).drop("chunks")
+
+    def cut(table: pa.Table) -> pa.Table:
+        flat, _ = _rows(table)
+        v = flat.reshape(table.num_rows, -1)
+        unit = _units(v)
+        own, name = clusters(unit, tile), "|".join(str(table.column(c)[0].as_py()) for c in ("dim", "cell", "chunk"))
+        order = np.concatenate(own)
+        first = np.cumsum([0, *map(len, own)])[:-1]
+        names, sizes, centres, radii = [], [None] * len(order), [None] * len(order), [None] * len(order)
+        for k, x in enumerate(own):
+            names += [f"{name}|{k}"] * len(x)
+            centre = unit[x].mean(axis=0)
+            sizes[first[k]], centres[first[k]] = len(x), centre.tolist()
+            radii[first[k]] = float(np.linalg.norm(unit[x] - centre, axis=1).max()) + 1e-9
+        rows = table.take(pa.array(order))
+        return pa.table({"tile": pa.array(names), **{c: rows.column(c) for c in ("label", "dim", "node", "n", "embedding")}, "size": pa.array(sizes, pa.int64()), "centre": pa.array(centres, pa.list_(pa.float64())), "radius": pa.array(radii, pa.float64())})
+
+    schema = "tile string, label string, dim bigint, node binary, n bigint, embedding array<double>, size bigint, centre array<double>, radius double"
+    return dealt.groupBy(*key, "chunk").applyInArrow(cut, schema)
+
+
+def _paired(rows: DataFrame, blocks: DataFrame, key: list[str]) -> DataFrame:
+    """``unit, same, side`` and the columns of ``rows`` (key, block, more): each pair of ``blocks`` (key, blocks: their number) is one unit."""
+    units = (
+        blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
+        .select("*", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
+        .select(*key, "i", "j", (F.col("i") == F.col("j")).alias("same"))
+    )
+    unit = F.struct(*key, "i", "j").alias("unit")
+    first = units.select(*key, unit, "same", F.lit(0).alias("side"), F.col("i").alias("block"))
+    second = units.where("not same").select(*key, unit, "same", F.lit(1).alias("side"), F.col("j").alias("block"))
+    return rows.join(first.unionByName(second), [*key, "block"])
+
+
+def near_tiles(tiled: DataFrame, threshold: float = THRESHOLD, block: int = 1024) -> DataFrame:
+    """``label, a, b`` (a <= b): tiles of one label and length that may hold linked vectors.
+
+    Vectors link within w = sqrt(2 - 2 threshold) of each other, so tiles link only if their
+    centres are at most w and both radii apart. Centres are held against each other in blocks.
+    """
+    width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    heads = tiled.where("size is not null").select("label", "dim", "tile", "centre", "radius")
+    blocks = heads.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    dealt = heads.join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("tile"), F.col("blocks"))).drop("blocks")
+
+    def near(table: pa.Table) -> pa.Table:
+        flat, _ = _rows(table, "centre")
+        c, r = flat.reshape(table.num_rows, -1), table.column("radius").to_numpy()
+        side = table.column("side").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 0 if table.column("same")[0].as_py() else side == 1)
+        square = (c * c).sum(axis=1)
+        apart = np.sqrt(np.maximum(0.0, square[left][:, None] + square[right][None, :] - 2 * c[left] @ c[right].T))
+        i, j = np.nonzero(apart <= r[left][:, None] + r[right][None, :] + width)
+        x, y = left[i], right[j]
+        names = np.array(table.column("tile").to_pylist(), object)
+        stay = (names[x] <= names[y]) if table.column("same")[0].as_py() else np.ones(len(x), bool)
+        a, b = np.minimum(names[x], names[y]) if len(x) else names[x], np.maximum(names[x], names[y]) if len(x) else names[y]
+        return pa.table({"label": pa.array([table.column("label")[0].as_py()] * int(stay.sum()), pa.string()), "a": pa.array(a[stay], pa.string()), "b": pa.array(b[stay], pa.string())})
+
+    return _paired(dealt, blocks, ["label", "dim"]).groupBy("unit").applyInArrow(near, "label string, a string, b string")
 
 
 def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """``a, b, others``: what nodes of one label with cosine >= threshold come to.
 
     ``vectors``: node, label (string), embedding (array<double>, finite, not zero), n (rows that
-    the node stands for). Nodes of a cell are dealt to tiles of about ``tile``; each pair of tiles
-    from the same or touching cells is one unit of work with bounded memory, so a cell of any size
-    spreads over many tasks. A unit finds every link but returns one row for each linked node a:
-    the sum of n of its partners there, and the least node b that it reaches there. The sums over
-    units are the degrees, and the edges a, b connect what the links connect.
+    the node stands for). Each pair of ``near_tiles`` is one unit of work with bounded memory, so
+    a cluster of any size spreads over many tasks, and tiles far apart never meet. A unit finds
+    every link but returns one row for each linked node a: the sum of n of its partners there, and
+    the first node b that it reaches there. The sums over units are the degrees, and the edges
+    a, b connect what the links connect.
     """
-    rows = written(cells(vectors, threshold), "cells")
-    cell = ["label", "dim", "b1", "b2"]
-    tiles = rows.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / tile).cast("long").alias("tiles"))
-    left, right = tiles, tiles.select(*[F.col(c).alias(f"{c}_b") for c in cell], F.col("tiles").alias("tiles_b"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    asked = left.select("*", F.inline(steps)).select("*", (F.col("b1") + F.col("i")).alias("b1_b"), (F.col("b2") + F.col("j")).alias("b2_b"), ((F.col("i") == 0) & (F.col("j") == 0)).alias("own"))
-    near = asked.join(right, (asked.label == right.label_b) & (asked.dim == right.dim_b) & (asked.b1_b == right.b1_b) & (asked.b2_b == right.b2_b)).select(*cell, "tiles", asked.b1_b, asked.b2_b, "tiles_b", "own")
-    units = (
-        near.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"))
-        .select("*", F.explode(F.sequence(F.when(F.col("own"), F.col("t")).otherwise(0), F.col("tiles_b") - 1)).alias("t_b"))
-        .withColumn("same", F.col("own") & (F.col("t") == F.col("t_b")))
-        .withColumn("unit", F.concat_ws("|", "label", "dim", "b1", "b2", "t", "b1_b", "b2_b", "t_b"))
-    )
-    dealt = rows.join(tiles, cell).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles"))).drop("tiles")
-    first = units.select("unit", "same", *cell, "t").withColumn("side", F.lit(0))
-    second = units.where("not same").select("unit", "same", "label", "dim", F.col("b1_b").alias("b1"), F.col("b2_b").alias("b2"), F.col("t_b").alias("t")).withColumn("side", F.lit(1))
-    work = dealt.join(first.unionByName(second), [*cell, "t"]).select("unit", "same", "side", "node", "n", "embedding")
+    tiled = written(tiles(vectors, tile), "tiles")
+    pairs = written(near_tiles(tiled, threshold), "pairs")
+    unit = F.struct("label", "a", "b").alias("unit")
+    first = pairs.select(unit, (F.col("a") == F.col("b")).alias("same"), "label", F.col("a").alias("tile"), F.lit(0).alias("side"))
+    second = pairs.where("a <> b").select(unit, F.lit(False).alias("same"), "label", F.col("b").alias("tile"), F.lit(1).alias("side"))
+    work = tiled.select("label", "tile", "node", "n", "embedding").join(first.unionByName(second), ["label", "tile"]).select("unit", "same", "side", "node", "n", "embedding")
 
     def linked(table: pa.Table) -> pa.Table:
-        x = table.column("embedding").combine_chunks()
-        v = x.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        side, node = table.column("side").to_numpy(), table.column("node").to_numpy()
+        flat, _ = _rows(table)
+        v = flat.reshape(table.num_rows, -1)
+        side, node, n = table.column("side").to_numpy(), table.column("node"), table.column("n").to_numpy()
         same = table.column("same")[0].as_py()
-        a = np.nonzero(side == 0)[0]
-        b = a if same else np.nonzero(side == 1)[0]
-        pairs = tile_links(v[a], v[b], threshold, same) if len(a) and len(b) else np.empty((0, 2), np.int64)
-        pairs = np.stack([a[pairs[:, 0]], b[pairs[:, 1]]], axis=1)
-        others = np.zeros(len(node), np.int64)
-        n = table.column("n").to_numpy()
-        np.add.at(others, pairs[:, 0], n[pairs[:, 1]])
-        np.add.at(others, pairs[:, 1], n[pairs[:, 0]])
+        a = np.flatnonzero(side == 0)
+        b = a if same else np.flatnonzero(side == 1)
+        found = tile_links(v[a], v[b], threshold, same) if len(a) and len(b) else np.empty((0, 2), np.int64)
+        found = np.stack([a[found[:, 0]], b[found[:, 1]]], axis=1)
+        others = np.zeros(len(n), np.int64)
+        np.add.at(others, found[:, 0], n[found[:, 1]])
+        np.add.at(others, found[:, 1], n[found[:, 0]])
         some = np.flatnonzero(others)
-        return pa.table({"a": pa.array(node[some]), "b": pa.array(node[_local_roots(len(node), pairs)[some]]), "others": pa.array(others[some])})
+        return pa.table({"a": node.take(pa.array(some)), "b": node.take(pa.array(_local_roots(len(n), found)[some])), "others": pa.array(others[some])})
 
-    return work.groupBy("unit").applyInArrow(linked, "a bigint, b bigint, others bigint")
+    return work.groupBy("unit").applyInArrow(linked, "a binary, b binary, others bigint")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -138,9 +243,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: i
 
     Vectors link within an equal, not null label at cosine >= threshold. A vector that is null,
     empty, zero or has a null or non-finite component, or whose label is null, links with
-    nothing; vectors of different lengths don't link. Equal vectors of a label are one node with
-    a count, so copies cost no pairs. n_links counts rows other than the row itself. A repeated
-    row is another vector. component_id is the smallest vec_id reachable.
+    nothing; vectors of different lengths don't link; components may have any finite size. Equal
+    vectors of a label are one node with a count, so copies cost no pairs. n_links counts rows
+    other than the row itself. A repeated row is another vector. component_id is the smallest
+    vec_id reachable. An empty table gives no rows; other columns are left out.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
@@ -150,14 +256,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: i
     )
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & whole & F.exists("embedding", lambda x: x != 0)
-    rows = rows.withColumn("node", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "embedding")))
-    classes = rows.where("node is not null").groupBy("label", "embedding").agg(F.first("node").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    nodes = written(classes, "vectors")
-    pairs = written(embedding_links(nodes, threshold, tile), "links")
-    degree = pairs.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
-    found = connected_components(pairs.select("a", "b")).withColumnRenamed("component", "root")
-    of = nodes.select("node", "least", "n").join(degree, "node", "left").join(found, "node", "left")
-    of = written(of.select("node", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "members")
+    digest = F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), "label", "embedding")), 16, "0") for k in (0, 1)]))
+    rows = rows.withColumn("node", F.when(F.coalesce(sound, F.lit(False)), digest))
+    with scratch() as keep:
+        classes = rows.where("node is not null").groupBy("label", "embedding").agg(F.first("node").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+        nodes = written(classes, "vectors")
+        pairs = written(embedding_links(nodes, threshold, tile), "links")
+        degree = pairs.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
+        found = connected_components(pairs.select("a", "b")).withColumnRenamed("component", "root")
+        of = nodes.select("node", "least", "n").join(degree, "node", "left").join(found, "node", "left")
+        of = keep(written(of.select("node", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "members"))
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = of.join(named, "root").select("node", "n_links", "component_id")
     out = rows.select("vec_id", "node").join(by_node, "node", "left")
