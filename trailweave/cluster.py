@@ -69,10 +69,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return again
 
 
+def deleted(spark: SparkSession, name: str) -> None:
+    """Deletes a folder."""
+    files, path = _path(spark, name)
+    files.delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes what ``written`` wrote, once nothing reads it any more."""
-    files, path = _path(df.sparkSession, df._trailweave_path)
-    files.delete(path, True)
+    deleted(df.sparkSession, df._trailweave_path)
 
 
 @contextmanager
@@ -109,7 +114,7 @@ def unscoped():
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to."""
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to, which no call deletes."""
     gc.collect()
     spark._jvm.System.gc()
 

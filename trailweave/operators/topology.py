@@ -21,7 +21,8 @@ def distances(n: int, edges: list[tuple[int, int, float]]) -> np.ndarray:
     for a, b, w in edges:
         if a != b:
             d[a, b] = d[b, a] = min(d[a, b], w)
-    for k in range(n):
+    # No shortest way leads through a node with a single neighbour.
+    for k in np.flatnonzero(np.isfinite(d).sum(axis=1) > 2):
         np.minimum(d, d[:, k, None] + d[None, k, :], out=d)
     d[np.isinf(d)] = n + 1.0
     return d
@@ -246,7 +247,12 @@ def near_top(queries: DataFrame, indexed: DataFrame, dim: int, k: int = 5, radiu
     Entries are all indexed; ``recall`` measures what the probes miss.
     """
     q = queries.where("vector is not null").select("qid", unit(F.col("vector")).alias("u"))
-    own = F.array(*[F.transform(probe_codes(sign_code(F.col("u"), planes(n_planes, dim, seed + t)), n_planes, radius), lambda c, t=t: F.struct(F.lit(t).alias("t"), c.alias("code"))) for t in range(tables)])
+
+    def probes(t: int):
+        codes = probe_codes(sign_code(F.col("u"), planes(n_planes, dim, seed + t)), n_planes, radius)
+        return F.transform(codes, lambda c: F.struct(F.lit(t).alias("t"), c.alias("code")))
+
+    own = F.array(*map(probes, range(tables)))
     q = q.select("qid", "u", F.inline(F.flatten(own)))
     met = q.join(indexed.select("id", "vector", F.posexplode("codes").alias("t", "code")), ["t", "code"])
     pairs = met.groupBy("qid", "id").agg(F.first("u").alias("u"), F.first("vector").alias("vector"))
