@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.cluster import shipped
+from trailweave.llm.texts import sliced
 
 #: Bytes of a piece that are merged directly: the leaves of the tree.
 LEAF = 24
@@ -177,7 +178,7 @@ def _mapped(docs: DataFrame, tokenizer: str, remembered: int, digests: bool) ->
         import public_tokenizers
 
         bpe = Bpe(load_ranks(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)), public_tokenizers.PATTERN, remembered)
-        for batch in batches:
+        for batch in sliced(batches):
             out = [bpe.encode(x or "") for x in batch.column(len(keep)).to_pylist()]
             if digests:
                 decoded = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in out]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.cluster import shipped, written
-from trailweave.llm.texts import utf8
+from trailweave.llm.texts import sliced, utf8
 
 WINDOW = 13
 #: A document counts as contaminated when at least one in so many of its words is hit.
@@ -207,7 +207,7 @@ def _scanned(docs: DataFrame, held) -> DataFrame:
     def scan(batches):
         automaton = held.value
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in sliced(batches):
             n, spans, items = [], [], []
             for text in utf8(batch):
                 words = words_of(text)
@@ -296,7 +296,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, cove
 
     def clean(batches):
         automaton = held.value
-        for batch in batches:
+        for batch in sliced(batches):
             stay, texts = [], batch.column(at).to_pylist()
             for k, text in enumerate(utf8(batch)):
                 words = words_of(text)
@@ -325,7 +325,7 @@ def without(text: bytes, spans: Sequence[tuple[int, int]]) -> bytes:
 
 def _cut(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """Rows (doc, spans) as documents whose text, field ``at``, lacks the spans; null spans: as it is."""
-    for batch in batches:
+    for batch in sliced(batches):
         fields = batch.column(0).flatten()
         texts = fields[at].to_pylist()
         for k, spans in enumerate(batch.column(1).to_pylist()):

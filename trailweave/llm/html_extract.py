@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.cluster import shipped
+from trailweave.llm.texts import sliced
 
 #: Elements whose text is no part of a page's running text; they don't end a line.
 UNSEEN = frozenset("head title script style noscript template iframe svg canvas object video audio button label select option datalist textarea".split())
@@ -349,7 +350,7 @@ def extract_pages(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("
     schema = pages.select(*keep).withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
 
     def extract(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(x, sigma, spread) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 

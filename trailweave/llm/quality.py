@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.cluster import shipped
-from trailweave.llm.texts import utf8
+from trailweave.llm.texts import sliced, utf8
 
 #: Rows of either label that the fit may take, by the order of a hash of doc_id.
 SAMPLE = 4000
@@ -130,7 +130,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: flo
     shipped(docs.sparkSession)
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = [features(t).tolist() for t in utf8(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y").cast(pa.int64()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
@@ -151,7 +151,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     keep = [c for c in docs.columns if c != "score"]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = [features(t) for t in utf8(batch)]
             s = model.scores(np.array(x).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s, pa.float64())], names=[*keep, "score"])
@@ -182,7 +182,7 @@ def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: fl
     model = learned(docs, labels, sample, least)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             s = model.scores(np.array([features(t) for t in utf8(batch)]).reshape(-1, len(FEATURES)))
             yield batch.filter(pa.array(s >= least))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.cluster import scratch, shipped, written
-from trailweave.llm.texts import one_of_each, text_key, utf8
+from trailweave.llm.texts import one_of_each, sliced, text_key, utf8
 from trailweave.operators.components import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -41,7 +41,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     shipped(docs.sparkSession)
 
     def hashed(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.fromiter((fingerprint(x, shingle, seed) for x in utf8(batch)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found.view(np.int64))], names=["doc_id", "h", "fp"])
 

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that a worker turns into Python values at once: a batch of Arrow's has twenty times as many.
+ROWS = 512
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``rows``, without a copy."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The column's values as bytes; null: b''."""
     return [x or b"" for x in batch.column(name).cast(pa.large_binary() if pa.types.is_large_string(batch.column(name).type) else pa.binary()).to_pylist()]
