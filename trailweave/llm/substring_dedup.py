@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.cluster import dropped, released, shipped, written
-from trailweave.llm.texts import utf8
+from trailweave.cluster import dropped, released, scratch, shipped, written
+from trailweave.llm.texts import sliced, utf8
 from trailweave.llm.prefilter import marked
 
 WINDOW = 35
@@ -41,9 +42,9 @@ def levels(window: int) -> tuple[int, int, int]:
 class Hashes:
     """Hashes of all windows of a text's words at each level; a longer one joins two of half its length."""
 
-    def __init__(self, words: list[bytes], window: int = WINDOW):
+    def __init__(self, words: list[bytes], window: int = WINDOW, seed: int = 0):
         base, half, _ = levels(window)
-        now, size = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), 1
+        now, size = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words)), 1
         for to in (*(1 << k for k in range(1, base.bit_length()) if 1 << k < base), base, half, window):
             if to > size:
                 now, size = _mixed(now[: len(now) - (to - size)], now[to - size :]), to
@@ -96,7 +97,7 @@ def _first_pass(docs: DataFrame, window: int) -> DataFrame:
 
     def scan(batches):
         kind = pa.list_(pa.struct([("at", pa.int32()), ("base", pa.int64()), ("ahead", pa.int64()), ("back", pa.int64())]))
-        for batch in batches:
+        for batch in sliced(batches):
             key, n, kept, anchors = [], [], [], []
             for text in utf8(batch):
                 words = text.split()
@@ -119,14 +120,18 @@ def _first_pass(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, window: int) -> DataFrame:
-    """``row, at, hash`` of the whole windows whose anchors and half windows are all repeated."""
+    """``row, at, hash, check`` of the whole windows whose anchors and half windows are all repeated.
+
+    Two hashes of 64 bits from different seeds: only at this level a chance match would cost words.
+    """
 
     def scan(batches):
         base, half, _ = levels(window)
-        for batch in batches:
-            keys, starts, hashes = [], [], []
+        for batch in sliced(batches):
+            keys, starts, hashes, checks = [], [], [], []
             for text, anchors in zip(utf8(batch), batch.column("anchors"), strict=True):
-                whole = Hashes(text.split(), window)
+                words = text.split()
+                whole = Hashes(words, window)
                 low = _least(whole.base, window - base + 1)
                 rows = anchors.values
                 at, ahead, back = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("at", "ahead", "back"))
@@ -142,20 +147,21 @@ def _candidates(texts: DataFrame, window: int) -> DataFrame:
                 keys.append(np.full(len(s), len(keys), np.int32))
                 starts.append(s.astype(np.int32))
                 hashes.append(whole.whole[s])
+                checks.append(Hashes(words, window, 1).whole[s] if len(s) else whole.whole[:0])
             if not keys:
                 continue
             index = pa.array(np.concatenate(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(index), pa.array(np.concatenate(starts)), pa.array(_signed(np.concatenate(hashes)))], names=["row", "at", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(index), pa.array(np.concatenate(starts)), pa.array(_signed(np.concatenate(hashes))), pa.array(_signed(np.concatenate(checks)))], names=["row", "at", "hash", "check"])
 
-    return texts.mapInArrow(scan, "row bigint, at int, hash bigint")
+    return texts.mapInArrow(scan, "row bigint, at int, hash bigint, check bigint")
 
 
-def _repeated(rows: DataFrame, column: str) -> DataFrame:
-    """Values of a column in two rows or more; a value of a third of all rows is one row for each task.
+def _repeated(rows: DataFrame, *columns: str) -> DataFrame:
+    """Values of ``columns`` in two rows or more; a value of a third of all rows is one row for each task.
 
     Written, so that a join with it starts from both sides' own shuffles and can split a hot value.
     """
-    return written(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column), "repeated")
+    return written(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*columns), "repeated")
 
 
 def _with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -168,7 +174,7 @@ def _with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def removed_starts(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(first, ones, starts): what the passes find, for ``without_repeats``.
 
-    first: ``doc_id, key, n_words, all_sha256`` of each document. ones: ``key, copies`` of each
+    first: ``doc_id, key, n_words, all_sha256`` of each document, and more. ones: ``key, copies`` of each
     distinct text of a window or more. starts: for each text that stands alone and has repeated
     windows, ``h, doc_id, key, starts``. Exact copies are one text with a count: all their windows
     are repeated, and one of them stands for all. Levels: base windows at anchors, half windows
@@ -195,12 +201,12 @@ def removed_starts(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     dropped(level)
     windows = written(_candidates(_with_texts(docs, level2).select("row", "text", "anchors"), window), "windows")
     released(spark)
-    again = windows.join(_repeated(windows, "hash"), "hash").select("row", "at")
+    again = windows.join(_repeated(windows, "hash", "check"), ["hash", "check"]).select("row", "at")
     starts = again.groupBy("row").agg(F.collect_set("at").alias("starts"))
     starts = written(starts.join(one_of_each.where("copies = 1").select("row", "h", "doc_id", "key"), "row").drop("row"), "starts")
     released(spark)
     dropped(windows)
-    return first.select("doc_id", "key", "n_words", "all_sha256"), ones.select("key", "copies"), starts
+    return first, ones, starts
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -208,10 +214,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if a window of ``window`` words that covers it also starts anywhere else, in any
     row, the same one included. Null text has no words. A repeated row is another document. The
-    digest is of the kept words, joined by one space. Texts are processed whole.
+    digest is of the kept words, joined by one space. Texts are processed whole, of any length;
+    an empty table gives no rows; other columns are left out.
     """
-    first, ones, starts = removed_starts(docs, window)
-    by_key = written(ones.join(starts.select("key", F.lit(True).alias("cut")), "key", "left"), "found")
+    with scratch() as keep:
+        first, ones, starts = removed_starts(docs, window)
+        first, starts = keep(written(first.select("doc_id", "key", "n_words", "all_sha256"), "digests")), keep(starts)
+        by_key = keep(written(ones.select("key", "copies").join(starts.select("key", F.lit(True).alias("cut")), "key", "left"), "found"))
     marked = first.join(by_key, "key", "left")
     copied = F.coalesce(F.col("copies") > 1, F.lit(False))
     nothing = hashlib.sha256(b"").hexdigest()
@@ -220,7 +229,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
     def cut(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             n, gone, kept = [], [], []
             for text, at in zip(utf8(batch), batch.column("starts"), strict=True):
                 words = text.split()
