@@ -33,6 +33,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED, step: int
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles' hashes, unsigned; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), 65_536):
+        own = found[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(own, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(found)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``doc_id, h, fp`` of every row: id, digest of the text, and the SimHash as a bigint of the same bits.
 
