@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trailweave import stored
 from trailweave.sources.store import CHANGES, GraphStore, full_edges
-from trailweave.streaming.feed import apply_changes, change_stream, requests_per_minute
+from trailweave.streaming.feed import apply_changes, change_stream, requests_per_minute, run_to_end
 
 
 def ids(spark, *names):
@@ -95,3 +96,15 @@ def test_requests_stream(spark, sf_dir, tmp_path):
 
 def test_full_edges(spark):
     assert full_edges(edges(spark, ("a", "r", "b", None))).first().weight == 1.0
+
+
+def test_minute_counts_come_from_the_shared_folder(spark, sf_dir):
+    """The stream's result is files, not rows on the driver."""
+    out = stored.minute_counts(spark, sf_dir)
+    assert out.inputFiles() and out.count() == spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "date_trunc('minute', ts)").distinct().count()
+
+
+def test_stream_without_rows(spark, tmp_path):
+    spark.range(0).selectExpr("id AS user_id", "now() AS ts").write.parquet(str(tmp_path / "e"))
+    stream = requests_per_minute(spark.readStream.schema("user_id bigint, ts timestamp").parquet(str(tmp_path / "e")))
+    assert run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "check")).count() == 0

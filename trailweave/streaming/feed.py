@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from trailweave.cluster import deleted
 from trailweave.sources.store import CHANGES, GraphStore
 
 
@@ -32,3 +33,28 @@ def requests_per_minute(events: DataFrame, client: str = "user_id", ts: str = "t
     """``client, window_start, n``: calls in each tumbling minute, late ones up to ``late``."""
     counted = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, "1 minute").alias("w"), client).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(client, F.col("w.start").alias("window_start"), "n")
+
+
+def run_to_end(counts: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """The whole result of ``counts`` once its stream has taken all there is, written to ``folder`` and read again.
+
+    Both folders must be shared; neither rows nor state go through the driver, as state lies in
+    RocksDB beside each task. Each micro-batch writes the whole result; the last one stays.
+    """
+    spark, last = counts.sparkSession, []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        if last and last[-1] != number:
+            deleted(spark, f"{folder}/{last[-1]}")
+        last.append(number)
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        counts.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+        deleted(spark, checkpoint)
+    return spark.read.schema(counts.schema).parquet(f"{folder}/{last[-1]}") if last else spark.createDataFrame([], counts.schema)
