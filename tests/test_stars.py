@@ -1,9 +1,8 @@
-"""One-step nets: stars by aggregates, others by their distances."""
+"""One-step nets: stars by aggregates, others by their distances; levels of a traversal."""
 
 import random
 
-
-from trailweave.operators import topology
+from trailweave.operators import topology, traversal
 
 
 def test_stars_and_triangles(spark):
@@ -47,3 +46,13 @@ def test_stars_need_no_distances(spark, monkeypatch):
     e = spark.range(300).selectExpr("'hub' AS src", "'x' AS relation", "concat('leaf', id) AS dst", "1.0D + id AS weight", "id AS ord")
     (row,) = topology.signatures(spark.sql("SELECT 'hub' AS id"), e, 1).collect()
     assert row.n_nodes == 301 and sum(row.topo_signature) == 300 and reached == [0]
+
+
+def test_last_level_without_paths_is_not_written(spark, monkeypatch):
+    names, written = [], traversal.written
+    monkeypatch.setattr(traversal, "written", lambda df, name: names.append(name) or written(df, name))
+    e = spark.createDataFrame([("a", "x", "b"), ("a", "x", "c"), ("b", "x", "d"), ("c", "x", "d"), ("d", "x", "a")], "src string, relation string, dst string").selectExpr("*", "1.0D AS weight", "0L AS ord")
+    asked = spark.createDataFrame([("q", "a", 2)], "qid string, anchor string, max_hops int")
+    out = traversal.geodesic_paths(asked, e, paths=False)
+    assert sorted((r.object_id, r.geodesic, r.hops) for r in out.collect()) == [("b", 1.0, 1), ("c", 1.0, 1), ("d", 2.0, 2)]
+    assert names == ["level0"]

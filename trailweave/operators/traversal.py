@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.cluster import dropped, shipped, written
+from trailweave.cluster import dropped, released, shipped, written
 from trailweave.operators.onehop import step
 
 MAX_HOPS = 4
@@ -42,8 +42,9 @@ def _level_by_level(queries: DataFrame, edges: DataFrame, paths: bool) -> DataFr
     """All weights equal and positive: a node settles at its least hop, from the least predecessor.
 
     One join for each hop, of the frontier with the edges; what is settled leaves by an anti join.
-    Each level is written, so the next plan starts from a table. A query whose target is settled
-    leaves the frontier.
+    Each level is written, so the next plan starts from a table and the shuffle files
+    behind it go; without paths the last one is left to what reads it. A query whose target is settled leaves
+    the frontier.
     """
     q = prepared(queries)
     most = q.agg(F.max("max_hops")).first()[0] or 0
@@ -56,12 +57,20 @@ def _level_by_level(queries: DataFrame, edges: DataFrame, paths: bool) -> DataFr
     for hop in range(most):
         f = level.join(alive.select("qid", "chain", "max_hops"), "qid").where(F.col("max_hops") > hop)
         reach = f.join(e, f.node == e.src).where(_allowed(F.col("chain"), F.lit(hop), F.col("relation")))
-        pick = [F.col("src"), F.col("ord"), F.col("relation"), F.col("weight"), F.col("cost")] + ([F.col("path")] if paths else [])
-        best = reach.groupBy("qid", F.col("dst").alias("node")).agg(F.min(F.struct(*pick)).alias("p"))
-        own = step(F.col("p.src"), F.col("p.relation"), F.col("node"), F.col("p.weight"))
-        path = F.concat(F.col("p.path"), F.array(own)) if paths else empty
-        fresh = best.join(seen, ["qid", "node"], "left_anti").select("qid", "node", (F.col("p.cost") + F.col("p.weight")).alias("cost"), path.alias("path"))
+        if paths:
+            best = reach.groupBy("qid", F.col("dst").alias("node")).agg(F.min(F.struct("src", "ord", "relation", "weight", "cost", "path")).alias("p"))
+            own = step(F.col("p.src"), F.col("p.relation"), F.col("node"), F.col("p.weight"))
+            best = best.select("qid", "node", (F.col("p.cost") + F.col("p.weight")).alias("cost"), F.concat(F.col("p.path"), F.array(own)).alias("path"))
+        else:
+            # A level's costs are all the same, so its nodes are all there is to tell.
+            best = reach.select("qid", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost")).distinct().withColumn("path", empty)
+        fresh = best.join(seen, ["qid", "node"], "left_anti").select("qid", "node", "cost", "path")
+        if not paths and hop + 1 == most:
+            done.append(fresh.withColumn("hops", F.lit(most)))
+            break
         level = written(fresh, f"level{hop}")
+        del f, reach, best, fresh
+        released(q.sparkSession)
         if level.isEmpty():
             break
         done.append(level.withColumn("hops", F.lit(hop + 1)))
