@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -83,6 +84,79 @@ def _level_by_level(queries: DataFrame, edges: DataFrame, paths: bool) -> DataFr
     return _to_target(out, q)
 
 
+#: At most so many edges are broadcast; so many ways are in a slice of a level; so many of one query's ways are in an array.
+SMALL, WAYS, ARRAY = 1 << 18, 1 << 26, 1 << 20
+
+
+def _meet(nodes: DataFrame, others: DataFrame) -> bool:
+    """Whether two tables of ``node`` have one in common."""
+    nodes = nodes.distinct()
+    return not others.join(F.broadcast(nodes) if nodes.count() <= SMALL else nodes, "node", "left_semi").isEmpty()
+
+
+def _level_in_arrays(q: DataFrame, edges: DataFrame, chain: list[str], most: int, weight: float) -> DataFrame:
+    """``_level_by_level`` without paths or targets, for queries of one chain and hop limit.
+
+    A level holds a query's nodes in arrays, and a hop moves all targets of a node as one list: a
+    row for each node of the frontier, not for each way. A hop of more than ``WAYS`` ways takes its
+    queries in slices, each written and its shuffle files released before the next, so the disk holds
+    one slice's. Queries with many ways have several arrays, by hash of the node. Only what the
+    chain allows is read of the edges; few edges are broadcast; what is settled is taken off where
+    targets of this hop can have been reached before.
+    """
+    level = q.select("qid", F.array("anchor").alias("nodes"))
+    levels, met, cost, out = [level], q.select(F.col("anchor").alias("node")), 0.0, None
+    one = lambda nodes: F.flatten(F.collect_list(nodes))  # noqa: E731  of arrays, which keep null targets
+    for hop in range(most):
+        allowed = edges.where(F.col("relation") == chain[hop]) if hop < len(chain) and chain[hop] is not None else edges
+        e = allowed.where("src is not null").select("src", "dst")
+        targets = e.select(F.col("dst").alias("node"))
+        again, met, few = _meet(targets, met), met.unionByName(targets), e.count() <= SMALL
+        widest = level.groupBy("qid").agg(F.sum(F.size("nodes")).alias("n")).agg(F.max("n")).first()[0] or 0
+        degree = e.groupBy("src").count().agg(F.max("count")).first()[0] or 0
+        bins, slices, lists = 1 + widest * degree // ARRAY, 1, None
+        binned = (F.pmod(F.xxhash64("dst"), F.lit(bins)) if bins > 1 else F.lit(0)).cast("long").alias("bin")
+        if not few:
+            lists = written(e.groupBy("src", binned).agg(F.array_distinct(one(F.array("dst"))).alias("nodes")), "lists")
+            ways = level.select(F.explode("nodes").alias("src")).join(lists.select("src", F.size("nodes").alias("n")), "src").agg(F.sum("n")).first()[0] or 0
+            slices += ways // WAYS
+
+        def fresh(of):
+            rows = of(level).select("qid", F.explode("nodes").alias("node"))
+            if few:
+                new = rows.join(F.broadcast(e.distinct()), F.col("node") == F.col("src")).select("qid", "dst").distinct().select("qid", binned, F.array("dst").alias("nodes"))
+            else:
+                new = rows.join(lists, F.col("node") == F.col("src")).select("qid", "bin", "nodes")
+            if not again:
+                return new.groupBy("qid", "bin").agg(F.array_distinct(one("nodes")).alias("nodes")).select("qid", "nodes")
+            new = new.withColumn("old", F.lit(False))
+            for d in levels:
+                own = of(d).select("qid", F.lit(0).cast("long").alias("bin"), "nodes")
+                if bins > 1:
+                    own = of(d).select("qid", F.explode("nodes").alias("dst")).select("qid", binned, F.array("dst").alias("nodes"))
+                new = new.unionByName(own.withColumn("old", F.lit(True)))
+            both = new.groupBy("qid", "bin").agg(one(F.when(~F.col("old"), F.col("nodes"))).alias("nodes"), one(F.when(F.col("old"), F.col("nodes"))).alias("old"))
+            return both.select("qid", F.array_except("nodes", "old").alias("nodes")).where(F.size("nodes") > 0)
+
+        cost += weight
+        if hop + 1 == most and slices == 1:
+            level = fresh(lambda df: df)
+        else:
+            parts = []
+            for k in range(slices):
+                parts.append(written(fresh(lambda df: df.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == k) if slices > 1 else df), f"level{hop}"))  # noqa: B023
+                released(q.sparkSession)
+            level = reduce(DataFrame.unionByName, parts)
+            if lists is not None:
+                dropped(lists)
+            if level.isEmpty():
+                break
+        levels.append(level)
+        rows = level.select("qid", F.explode("nodes").alias("object_id"), F.lit(cost).alias("geodesic"), F.lit(hop + 1).alias("hops"), F.array().cast(_STEPS).alias("path"))
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else level.select("qid", F.lit("").alias("object_id"), F.lit(cost).alias("geodesic"), F.lit(0).alias("hops"), F.array().cast(_STEPS).alias("path")).where("false")
+
+
 def _to_target(found: DataFrame, q: DataFrame) -> DataFrame:
     wanted = found.join(q.select("qid", "target"), "qid").where(F.col("target").isNull() | (F.col("target") == F.col("node")))
     return wanted.select("qid", F.col("node").alias("object_id"), F.col("cost").alias("geodesic"), "hops", "path")
@@ -210,6 +284,10 @@ def geodesic_paths(queries: DataFrame, edges: DataFrame, objects: DataFrame | No
     if plan == "auto":
         plan = "level" if low is None or (low == high and low > 0) else "rounds" if low > 0 else "heap"
     if plan == "level":
+        q = prepared(queries).where("qid is not null")
+        kinds = [] if paths or low is None or low <= 0 else q.select("chain", "max_hops", "target").distinct().limit(2).collect()
+        if len(kinds) == 1 and kinds[0].chain is not None and kinds[0].target is None:
+            return _level_in_arrays(q, edges, list(kinds[0].chain), kinds[0].max_hops, low)
         return _level_by_level(queries, edges, paths)
     if plan == "rounds":
         if low is not None and low <= 0:
